@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm import conversations as conv
-from vellum.llm import lines, mixing, tokenize
+from vellum.llm import lines, mixing, pairs, residue, tokenize, truncation
 from vellum.registry import Registry
 from vellum.session import cut
 from vellum.sources.tables import table
@@ -91,3 +91,51 @@ def p7_mix(spark: SparkSession, directory: str) -> DataFrame:
 @REGISTRY.query("p7_shares")
 def p7_shares(spark: SparkSession, directory: str) -> DataFrame:
     return mixing.mix(_sized(spark, directory), table(spark, directory, "mix_targets"))[1]
+
+
+def _audit(spark: SparkSession, directory: str) -> DataFrame:
+    return truncation.truncated_rows(table(spark, directory, "audit_logs", "id", "action", "detail"), "detail", "action")
+
+
+@REGISTRY.query("p1_found")
+def p1_found(spark: SparkSession, directory: str) -> DataFrame:
+    return _audit(spark, directory).filter("truncated AND id IS NOT NULL").select("id").distinct()
+
+
+@REGISTRY.query("p1_by_action")
+def p1_by_action(spark: SparkSession, directory: str) -> DataFrame:
+    return truncation.truncation_by_group(_audit(spark, directory), "id", "action")
+
+
+def _pairs(spark: SparkSession, directory: str) -> DataFrame:
+    golden = table(spark, directory, "golden_dataset").select(
+        F.lit("golden_dataset").alias("table_name"), F.col("source_row").alias("row_id"), F.col("question").alias("prompt"), F.col("ground_truth").alias("response"), "intent"
+    )
+    results = table(spark, directory, "ragas_eval_results").select(
+        F.lit("ragas_eval_results").alias("table_name"), F.col("result_id").alias("row_id"), F.col("user_input").alias("prompt"), "response", F.col("golden_intent").alias("intent")
+    )
+    both = golden.unionByName(results)
+    return pairs.defects(both, "prompt", "response", pairs.labelled_intent(F.col("intent")) == "guardrail")
+
+
+@REGISTRY.query("p5_found")
+def p5_found(spark: SparkSession, directory: str) -> DataFrame:
+    return _pairs(spark, directory).filter("defect IS NOT NULL").select("table_name", "row_id", "defect")
+
+
+@REGISTRY.query("p5_by_intent")
+def p5_by_intent(spark: SparkSession, directory: str) -> DataFrame:
+    rows = _pairs(spark, directory).select("table_name", pairs.labelled_intent(F.col("intent")).alias("intent"), F.coalesce("defect", F.lit("none")).alias("defect"))
+    return rows.groupBy("table_name", "intent", "defect").agg(F.count(F.lit(1)).alias("n"))
+
+
+@REGISTRY.query("p8_found")
+def p8_found(spark: SparkSession, directory: str) -> DataFrame:
+    return residue.residue(table(spark, directory, "documents", "doc_id", "text")).filter("residue").select("doc_id")
+
+
+@REGISTRY.query("p8_kept")
+def p8_kept(spark: SparkSession, directory: str) -> DataFrame:
+    """Per source: documents kept and left out."""
+    rows = residue.residue(table(spark, directory, "documents", "doc_id", "source", "text"))
+    return rows.groupBy("source").agg(F.count_if(~F.col("residue")).alias("kept"), F.count_if("residue").alias("left_out"))

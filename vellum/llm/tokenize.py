@@ -45,11 +45,11 @@ def _bucket(key: Column) -> Column:
     return F.pmod(F.hash(key), F.lit(BUCKETS))
 
 
-def _look_up(buckets: Column, key: Column) -> Column:
+def look_up(buckets: Column, key: Column) -> Column:
     return F.get(buckets, _bucket(key))[key]
 
 
-def _bucketed(rows: DataFrame, key: str, value: str) -> DataFrame:
+def bucketed(rows: DataFrame, key: str, value: str) -> DataFrame:
     """One row: an array of BUCKETS maps, every key in the map that its hash picks."""
     filled = rows.select(_bucket(F.col(key)).alias("b"), F.struct(key, value).alias("e"))
     blank = rows.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"), F.lit(None).cast(filled.schema["e"].dataType).alias("e"))
@@ -59,7 +59,7 @@ def _bucketed(rows: DataFrame, key: str, value: str) -> DataFrame:
 
 def rank_row(spark: SparkSession, path: str = VOCABULARY) -> DataFrame:
     """The literal rank map: one row, an array of maps from piece (marked by OPEN) to rank."""
-    return _bucketed(spark.createDataFrame([(OPEN + k, v) for k, v in read_ranks(path).items()], "piece string, rank int"), "piece", "rank")
+    return bucketed(spark.createDataFrame([(OPEN + k, v) for k, v in read_ranks(path).items()], "piece string, rank int"), "piece", "rank")
 
 
 def byte_string(text: Column) -> Column:
@@ -89,7 +89,7 @@ def fold_merges(word: Column, ranks: Column) -> Column:
 
     def _best(ps: Column) -> Column:
         firsts = F.slice(ps, F.lit(1), F.greatest(F.size(ps) - 2, F.lit(0)))
-        return F.array_min(F.transform(firsts, lambda p, i: F.struct(F.coalesce(_look_up(ranks, F.concat(p, F.substring(F.get(ps, i + 1), 2, 1 << 30))), last).alias("rank"), i.alias("at"))))
+        return F.array_min(F.transform(firsts, lambda p, i: F.struct(F.coalesce(look_up(ranks, F.concat(p, F.substring(F.get(ps, i + 1), 2, 1 << 30))), last).alias("rank"), i.alias("at"))))
 
     def _merge(state: Column, ps: Column, best: Column) -> Column:
         a, b = F.get(ps, best["at"]), F.get(ps, best["at"] + 1)
@@ -97,14 +97,14 @@ def fold_merges(word: Column, ranks: Column) -> Column:
         return F.when(F.coalesce(best["rank"], last) == last, state).otherwise(joined)
 
     def ids(state: Column) -> Column:
-        return F.transform(F.filter(F.split(state, CLOSE), lambda p: p != ""), lambda p: _look_up(ranks, p))
+        return F.transform(F.filter(F.split(state, CLOSE), lambda p: p != ""), lambda p: look_up(ranks, p))
 
     none = F.array().cast("array<int>")
     return let(
         byte_string(word),
         none,
         lambda bytes_: let(
-            _look_up(ranks, F.concat(F.lit(OPEN), bytes_)),
+            look_up(ranks, F.concat(F.lit(OPEN), bytes_)),
             none,
             lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(
                 ids(F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(bytes_) - 1, F.lit(1))), F.regexp_replace(bytes_, "(?s)(.)", OPEN + "$1" + CLOSE), step))
@@ -131,12 +131,12 @@ def dictionary(docs: DataFrame, text: str, size: int = DICTIONARY, path: str = V
 def encode(docs: DataFrame, text: str = "text", out: str = "ids", size: int = DICTIONARY, path: str = VOCABULARY) -> DataFrame:
     """docs with the column out (array<int>): the ids of text without special tokens."""
     spark = docs.sparkSession
-    known = _bucketed(dictionary(docs, text, size, path), "word", "ids")
+    known = bucketed(dictionary(docs, text, size, path), "word", "ids")
     held = docs.select("*", known.scalar().alias("_known"), rank_row(spark, path).scalar().alias("_ranks"))
     none = F.array().cast("array<int>")
 
     def ids(k: Column, r: Column) -> Column:
-        return F.flatten(F.transform(words_of(F.col(text)), lambda w: F.coalesce(_look_up(k, w), fold_merges(w, r))))
+        return F.flatten(F.transform(words_of(F.col(text)), lambda w: F.coalesce(look_up(k, w), fold_merges(w, r))))
 
     return held.select(*docs.columns, F.coalesce(let(F.struct(F.col("_known").alias("k"), F.col("_ranks").alias("r")), none, lambda h: ids(h["k"], h["r"])), none).alias(out))
 
