@@ -93,7 +93,10 @@ def features(text: Column, group: Column, known: Column, limit: Column) -> Colum
         kind = F.when(letter.rlike(r"\p{Lu}"), "U").when(letter.rlike(r"\p{L}"), "l").otherwise("0")
         count = lambda c: F.length(F.replace(text, F.lit(c), F.lit("")))
         unpaired = F.concat(*[F.when(count(a) < count(b), F.lit("1")).otherwise(F.lit("0")) for a, b in ("()", "“”", "[]", "«»", "{}")])
-        parts = F.struct(names.alias("w"), low.alias("low"), closing.alias("closing"), kind.alias("kind"), unpaired.alias("unpaired"), F.when(limit, "1").otherwise("0").alias("full"))
+        parts = F.struct(
+            names.alias("w"), low.alias("low"), closing.alias("closing"), kind.alias("kind"), unpaired.alias("unpaired"), F.when(limit, "1").otherwise("0").alias("full"),
+            F.when(F.length(text) <= 24, F.regexp_replace(F.lower(text), r"\p{N}+", "0")).otherwise("").alias("value"), F.least(F.size(toks), F.lit(8)).cast("string").alias("n"),
+        )
         return let(parts, none, rows)
 
     def rows(x: Column) -> Column:
@@ -106,7 +109,7 @@ def features(text: Column, group: Column, known: Column, limit: Column) -> Colum
             c("1", w1), c("1c", w1, closing), c("2", w2, w1), c("3", w3, w2, w1), c("h1", h1, h2, w1), c("h2", h1, h2, w2, w1), c("h3", h1, h2, h3, w1),
             c("g1", group, w1, closing), c("g2", group, w2, w1), c("c1", tail(1)), c("c2", tail(2)), c("c3", tail(3)), c("c4", tail(4)),
             c("gc3", group, tail(3)), c("gc4", group, tail(4)), c("gc6", group, low), c("k", group, closing, kind, known1), c("kk", closing, kind, known1, w2),
-            c("q", x["unpaired"]), c("l", full, closing), c("l1", full, known1, closing), c("s", h1, h2, closing), c("sg", group, h1, closing), c("bias"),
+            c("q", x["unpaired"]), c("l", full, closing), c("l1", full, known1, closing), c("s", h1, h2, closing), c("sg", group, h1, closing), c("v", group, x["value"]), c("nn", x["n"], closing, kind), c("bias"),
         )
 
     return F.transform(let(_tokens(last), none, build), lambda f: F.pmod(F.xxhash64(f), F.lit(WIDTH)).cast("int"))
@@ -207,7 +210,7 @@ def fit(df: DataFrame, text: str, group: str | None = None, sample: int = SAMPLE
     end = F.concat_ws("|", "g", F.regexp_replace(F.lower(F.right("t", F.lit(4))), r"\p{N}", "0"))
     placed = held.select("y", "sure", "g", "t", "times", "common", end.alias("end"), F.pmod(F.xxhash64("t"), F.lit(10)).alias("fold"), let(F.col("_k"), none, lambda k: features(F.col("x"), F.col("g"), k, F.col("full"))).alias("places"))
     pdf = placed.toPandas()  # at most 2 * sample * (CUTS + 2) rows
-    w, accuracy = np.zeros(WIDTH), None
+    w, p, accuracy = np.zeros(WIDTH), None, None
     if len(pdf) >= 20 and pdf.y.nunique() == 2:
         places, y, sure, fold = np.stack(pdf.places.to_numpy()).astype(np.int32), pdf.y.to_numpy(float), pdf.sure.to_numpy(bool), pdf.fold.to_numpy()
         sure = sure | (pdf.groupby("end").y.transform("size") / pdf.groupby("g").y.transform("size") >= COMMON_END).to_numpy()
@@ -216,12 +219,12 @@ def fit(df: DataFrame, text: str, group: str | None = None, sample: int = SAMPLE
         common = ((pdf.common >= COMMON_VALUE) & (pdf.times >= 5)).to_numpy()
         sure, times = sure | common, np.where(common, np.minimum(pdf.times, 50), 1)
         train, keep = fold != 0, np.where(y > 0, PRIOR, np.where(sure, times, UNSURE))
-        for _ in range(3):
-            w = _fit_weights(places[train], y[train], keep[train])
+        for rows_used in (train, train, np.full(len(y), True)):  # the last fit takes in what the accuracy was held out on
+            test = ~train & (keep > 0)
+            accuracy = float(((p > THRESHOLD) == (y > 0.5))[test].mean()) if p is not None and test.any() else accuracy
+            w = _fit_weights(places[rows_used], y[rows_used], keep[rows_used])
             p = 1 / (1 + np.exp(-w[places].sum(axis=1)))
             keep = np.where(y > 0, PRIOR, np.where(~sure & (p > 0.4), 0.0, times))
-        test = ~train & (keep > 0)
-        accuracy = float(((p > THRESHOLD) == (y > 0.5))[test].mean()) if test.any() else None
     else:
         w[:] = -1.0
     weights = spark.createDataFrame([(w.tolist(),)], "w array<double>")
