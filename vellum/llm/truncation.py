@@ -38,6 +38,7 @@ WIDTH = 1 << 15
 WORDS = 8192
 #: Groups whose length limit is known, at most.
 GROUPS = 1000
+SHORTEST_LIMIT = 16
 #: Weight of an artificial cut against a whole value: cut records are rarer than whole ones.
 PRIOR = 0.4
 #: Weight, in the first fit, of a value of which it is not known that it is whole.
@@ -48,7 +49,7 @@ COMMON_END = 0.05
 END_RATIO = 0.3
 #: Or if so large a part of its group's records has exactly this value.
 COMMON_VALUE = 0.001
-THRESHOLD = 0.25
+THRESHOLD = 0.3
 
 _BOUNDARY = r"(?<!\b(?:Inc|Corp|Ltd|S\.A|B\.V|S\.r\.l|Nr|No|Art|vgl|bzw|z\.B|Mr|Dr|EX-\d\d|EX-\d))(?<=[.!?;:…])[\"”»)]*\s+|\n+"
 #: What may stand in place of a lost end: an ellipsis, half a character, half an escape or half an entity.
@@ -115,16 +116,16 @@ def features(text: Column, group: Column, known: Column, limit: Column) -> Colum
     return F.transform(let(_tokens(last), none, build), lambda f: F.pmod(F.xxhash64(f), F.lit(WIDTH)).cast("int"))
 
 
-def _fit_weights(places: np.ndarray, label: np.ndarray, keep: np.ndarray, rounds: int = 70, l2: float = 1e-5) -> np.ndarray:
-    """Logistic regression by full-batch AdaGrad; places: a row an example, of equal length; keep: weight of each example."""
-    w, seen = np.zeros(WIDTH), np.full(WIDTH, 1e-8)
+def _fit_weights(places: np.ndarray, label: np.ndarray, keep: np.ndarray, start: np.ndarray, rounds: int = 150, step: float = 0.2, ridge: float = 1.0) -> np.ndarray:
+    """Logistic regression by full-batch Adam; places: a row an example, of equal length; keep: weight of each example; start: where to begin."""
+    w, mean, square = start.copy(), np.zeros(WIDTH), np.zeros(WIDTH)
     flat, k = places.ravel(), places.shape[1]
     mass = keep / keep.sum()
-    for _ in range(rounds):
+    for r in range(1, rounds + 1):
         p = 1 / (1 + np.exp(-np.clip(w[places].sum(axis=1), -30, 30)))
-        g = np.bincount(flat, weights=np.repeat((p - label) * mass, k), minlength=WIDTH) + l2 * w
-        seen += g * g
-        w -= 0.5 * g / np.sqrt(seen)
+        g = np.bincount(flat, weights=np.repeat((p - label) * mass, k), minlength=WIDTH) + ridge / keep.sum() * w
+        mean, square = 0.9 * mean + 0.1 * g, 0.999 * square + 0.001 * g * g
+        w -= step * (1 - r / (rounds + 1)) * (mean / (1 - 0.9**r)) / (np.sqrt(square / (1 - 0.999**r)) + 1e-9)
     return w
 
 
@@ -171,8 +172,9 @@ def _sample(df: DataFrame, size: int) -> DataFrame:
 
 
 def _limits(base: DataFrame) -> DataFrame:
-    """One row: the lengths of each group that stand out at least fivefold from the four lengths on either side."""
-    sizes = base.groupBy("g", F.length("t").alias("len")).agg(F.count(F.lit(1)).alias("n"))  # a row a group and length
+    """One row: the lengths of each group that stand out, by different values, at least fivefold from the four lengths on
+    either side. No field is cut below SHORTEST_LIMIT characters."""
+    sizes = base.filter(F.length("t") >= SHORTEST_LIMIT).groupBy("g", F.length("t").alias("len")).agg(F.approx_count_distinct("t").alias("n"))  # a row a group and length
     near = Window.partitionBy("g").orderBy("len").rangeBetween(-4, 4)
     odd = sizes.withColumns({"around": F.sum("n").over(near) - F.col("n"), "all": F.sum("n").over(Window.partitionBy("g"))})
     odd = odd.filter((F.col("n") >= 5 * (F.col("around") / 8 + 1)) & (F.col("n") * GROUPS >= F.col("all")))
@@ -222,7 +224,7 @@ def fit(df: DataFrame, text: str, group: str | None = None, sample: int = SAMPLE
         for rows_used in (train, train, np.full(len(y), True)):  # the last fit takes in what the accuracy was held out on
             test = ~train & (keep > 0)
             accuracy = float(((p > THRESHOLD) == (y > 0.5))[test].mean()) if p is not None and test.any() else accuracy
-            w = _fit_weights(places[rows_used], y[rows_used], keep[rows_used])
+            w = _fit_weights(places[rows_used], y[rows_used], keep[rows_used], w)
             p = 1 / (1 + np.exp(-w[places].sum(axis=1)))
             keep = np.where(y > 0, PRIOR, np.where(~sure & (p > 0.4), 0.0, times))
     else:
