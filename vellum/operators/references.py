@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import bloom
+from vellum.session import cut
 
 #: White space and characters without width.
 _INVISIBLE = r"[\s\p{Z}\x{0085}\x{200B}-\x{200D}\x{2060}\x{FEFF}]"
@@ -65,7 +66,7 @@ def orphan_references(references: list[Reference], parents: dict[str, DataFrame]
     for name, df in parents.items():
         keys = df.select(normal_key(F.col(parent_key)).alias("_key"))
         bits = bloom.log2_bits_for(df.count())
-        filters[name] = (bloom.build(keys, "_key", bits), bits)
+        filters[name] = (cut(bloom.build(keys, "_key", bits)), bits)  # built once, not once per place in the plan
     for r in references:
         words, bits = filters[r.parent]
         value = F.col(r.column).cast("string")

@@ -7,6 +7,6 @@ REGISTRY = Registry()
 
 def load() -> Registry:
     """Import every module of queries; each registers its own."""
-    from vellum.plans import integrity  # noqa: F401
+    from vellum.plans import integrity, texts  # noqa: F401
 
     return REGISTRY
