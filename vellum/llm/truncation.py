@@ -22,6 +22,7 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ from vellum.llm.tokenize import bucketed, let, look_up
 from vellum.session import cut
 
 #: Values the model is fitted on, at most.
-SAMPLE = 30000
+SAMPLE = 16000
 #: Artificial cuts per value; the last of them takes off one to four characters.
 CUTS = 5
 #: Places of the weights.
@@ -129,16 +130,16 @@ def _fit_weights(places: np.ndarray, label: np.ndarray, keep: np.ndarray, start:
     return w
 
 
-def _common_ends(texts: np.ndarray) -> dict[str, bool]:
-    """Whether each text ends in two words that stand at an end often enough (END_RATIO), the last of them known from inside texts."""
-    split = {t: re.findall(r"[^\W_]+", re.sub(r"\d+", "0", t.lower())) for t in texts}
+def _common_ends(texts: pd.DataFrame) -> set[int]:
+    """tid of the texts (tid, t) that end in two words that stand at an end often enough (END_RATIO), the last of them known from inside texts."""
+    split = {i: re.findall(r"[^\W_]+", re.sub(r"\d+", "0", t[-400:].lower())) for i, t in zip(texts.tid, texts.t, strict=True)}
     ends, inner, words = Counter(), Counter(), Counter()
     for ws in split.values():
         ends[tuple(ws[-2:])] += 1
         inner.update(zip(ws[:-2], ws[1:-1], strict=False))
         words.update(ws[:-1])
     good = lambda e: ends[e] >= 3 and ends[e] >= END_RATIO * (ends[e] + inner[e]) and words[e[-1]] >= 3
-    return {t: bool(ws) and good(tuple(ws[-2:])) for t, ws in split.items()}
+    return {i for i, ws in split.items() if ws and good(tuple(ws[-2:]))}
 
 
 @dataclass
@@ -210,14 +211,14 @@ def fit(df: DataFrame, text: str, group: str | None = None, sample: int = SAMPLE
     held = examples.select("*", known.scalar().alias("_k"))
     none = F.array().cast("array<int>")
     end = F.concat_ws("|", "g", F.regexp_replace(F.lower(F.right("t", F.lit(4))), r"\p{N}", "0"))
-    placed = held.select("y", "sure", "g", "t", "times", "common", end.alias("end"), F.pmod(F.xxhash64("t"), F.lit(10)).alias("fold"), let(F.col("_k"), none, lambda k: features(F.col("x"), F.col("g"), k, F.col("full"))).alias("places"))
-    pdf = placed.toPandas()  # at most 2 * sample * (CUTS + 2) rows
+    placed = held.select("y", "sure", "g", F.xxhash64("t").alias("tid"), "times", "common", end.alias("end"), F.pmod(F.xxhash64("t"), F.lit(10)).alias("fold"), let(F.col("_k"), none, lambda k: features(F.col("x"), F.col("g"), k, F.col("full"))).alias("places"))
+    pdf = placed.toPandas()  # at most 2 * sample * (CUTS + 2) rows of numbers
+    ends = _common_ends(rows.select(F.xxhash64("t").alias("tid"), "t").toPandas())  # at most 2 * sample texts
     w, p, accuracy = np.zeros(WIDTH), None, None
     if len(pdf) >= 20 and pdf.y.nunique() == 2:
         places, y, sure, fold = np.stack(pdf.places.to_numpy()).astype(np.int32), pdf.y.to_numpy(float), pdf.sure.to_numpy(bool), pdf.fold.to_numpy()
         sure = sure | (pdf.groupby("end").y.transform("size") / pdf.groupby("g").y.transform("size") >= COMMON_END).to_numpy()
-        ends = _common_ends(pdf.t[pdf.y == 0].unique())
-        sure = sure | pdf.t.map(lambda t: ends.get(t, False)).to_numpy(bool)
+        sure = sure | pdf.tid.isin(ends).to_numpy()
         common = ((pdf.common >= COMMON_VALUE) & (pdf.times >= 5)).to_numpy()
         sure, times = sure | common, np.where(common, np.minimum(pdf.times, 50), 1)
         train, keep = fold != 0, np.where(y > 0, PRIOR, np.where(sure, times, UNSURE))
