@@ -9,6 +9,7 @@ from vellum.operators import layout
 from vellum.operators.references import is_blank, normal_key
 from vellum.plans import REGISTRY
 from vellum.sources.tables import table
+from vellum.streaming.stateful import lockouts_batch
 
 
 @REGISTRY.query("recent_sessions", "SELECT user_id, id, updated_at FROM chat_sessions QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY updated_at DESC, id) <= 5")
@@ -142,3 +143,17 @@ def reading_order(spark: SparkSession, directory: str) -> DataFrame:
 @REGISTRY.query("page_text", rf"SELECT page_id, string_agg(t, chr(10) || chr(10) ORDER BY col, bucket, x0, block_no) AS text FROM (SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM {_ORDERED}) WHERE t <> '' GROUP BY 1")
 def page_text(spark: SparkSession, directory: str) -> DataFrame:
     return layout.page_text(_blocks(spark, directory), ["page_id"])
+
+
+@REGISTRY.query("login_lockout")
+def login_lockout(spark: SparkSession, directory: str) -> DataFrame:
+    """Locks by a fold over each user's attempts: failures are errors, successes purchases."""
+    e = table(spark, directory, "events", "user_id", "ts", "event_type").filter("event_type IN ('error', 'purchase')")
+    return lockouts_batch(e.select(F.col("user_id").cast("string").alias("user_id"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "purchase").alias("ok")))
+
+
+@REGISTRY.query("hourly_events", "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def hourly_events(spark: SparkSession, directory: str) -> DataFrame:
+    """The batch twin of the windowed stream count."""
+    e = table(spark, directory, "events", "ts", "event_type", "value")
+    return e.groupBy(F.date_trunc("hour", F.col("ts").cast("timestamp")).cast("timestamp_ntz").alias("hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
