@@ -48,8 +48,8 @@ def repeated_lines(pages: DataFrame, min_pages: int = MIN_PAGES, share: int = SH
 
 def without_repeated_lines(pages: DataFrame, **how: int) -> DataFrame:
     """pages with the column clean: page_content without its repeated lines (null stays null), and n_removed."""
-    gone = repeated_lines(pages, **how).groupBy("page_id").agg(F.collect_set("line_no").alias("_gone"))
-    kept = F.filter(F.split("page_content", "\n"), lambda x, i: ~F.array_contains("_gone", (i + 1).cast("bigint")))
+    gone = repeated_lines(pages, **how).groupBy("page_id").agg(F.collect_set("line_no").alias("__gone"))
+    kept = F.filter(F.split("page_content", "\n"), lambda x, i: ~F.array_contains("__gone", (i + 1).cast("bigint")))
     out = pages.join(gone, "page_id", "left")
-    clean = F.when(F.col("_gone").isNull(), F.col("page_content")).otherwise(F.array_join(kept, "\n"))
-    return out.select(*pages.columns, clean.alias("clean"), F.coalesce(F.size("_gone"), F.lit(0)).alias("n_removed"))
+    clean = F.when(F.col("__gone").isNull(), F.col("page_content")).otherwise(F.array_join(kept, "\n"))
+    return out.select(*[c for c in pages.columns if c not in ("clean", "n_removed")], clean.alias("clean"), F.coalesce(F.size("__gone"), F.lit(0)).alias("n_removed"))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from vellum.llm import truncation
 from vellum.llm.conversations import says_nothing
-from vellum.llm.tokenize import bucketed, let, look_up
+from vellum.llm.tokenize import bucketed, fresh, let, look_up
 from vellum.session import cut
 
 #: Share of the response's tokens, and of the prompt's, in the longest common subsequence of a copy.
@@ -150,19 +150,20 @@ def defects(pairs: DataFrame, prompt: str, response: str, excused: Column) -> Da
     """pairs with defect (null: none). excused: whether a refusal is the right response."""
     weights = cut(language_weights(pairs, prompt, response))
     cut_model = truncation.fit(pairs, response)
-    scored = cut_model.score(pairs, response, out="_p_cut")
-    held = scored.select("*", weights.scalar().alias("_lw"), prompt_language(F.col(prompt)).alias("_lang"), is_refusal(F.col(response)).alias("_refuses"))
-    other = let(F.col("_lw"), F.lit(False), lambda w: _other_language(F.col("_lang"), F.col(response), w))
-    held = held.select(*scored.columns, "_refuses", other.alias("_other"))
+    p_cut, lang_weights, lang, refuses, other = (fresh(pairs, n) for n in ("p_cut", "lang_weights", "lang", "refuses", "other"))
+    scored = cut_model.score(pairs, response, out=p_cut)
+    held = scored.select("*", weights.scalar().alias(lang_weights), prompt_language(F.col(prompt)).alias(lang), is_refusal(F.col(response)).alias(refuses))
+    elsewhere = let(F.col(lang_weights), F.lit(False), lambda w: _other_language(F.col(lang), F.col(response), w))
+    held = held.select(*scored.columns, refuses, elsewhere.alias(other))
     defect = (
         F.when(says_nothing(F.col(response)), "empty")
         .when(is_copy(F.col(prompt), F.col(response)), "copy")
-        .when(F.col("_refuses") & F.coalesce(excused, F.lit(False)), F.lit(None).cast("string"))
-        .when(F.col("_refuses"), "refusal")
-        .when(F.col("_other"), "other_language")
-        .when(F.col("_p_cut") >= truncation.THRESHOLD, "truncated")
+        .when(F.col(refuses) & F.coalesce(excused, F.lit(False)), F.lit(None).cast("string"))
+        .when(F.col(refuses), "refusal")
+        .when(F.col(other), "other_language")
+        .when(F.col(p_cut) >= truncation.THRESHOLD, "truncated")
     )
-    return held.select(*pairs.columns, defect.alias("defect"))
+    return held.select(*[c for c in pairs.columns if c != "defect"], defect.alias("defect"))
 
 
 def labelled_intent(intent: Column) -> Column:

@@ -41,6 +41,14 @@ def read_ranks(path: str) -> dict[str, int]:
         return {base64.b64decode(a).decode("latin-1"): int(b) for a, b in map(bytes.split, f)}
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, lengthened until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def _bucket(key: Column) -> Column:
     return F.pmod(F.hash(key), F.lit(BUCKETS))
 
@@ -115,8 +123,9 @@ def fold_merges(word: Column, ranks: Column) -> Column:
 
 def with_ranks(df: DataFrame, column: str, out: str, body: Callable[[Column, Column], Column], kind: str, path: str) -> DataFrame:
     """df with out = body(column, ranks). The literal is bound once, so that Spark keeps it in the plan and out of the rows."""
-    held = df.select("*", rank_row(df.sparkSession, path).scalar().alias("_ranks"))
-    return held.select(*df.columns, let(F.col("_ranks"), F.lit(None).cast(kind), lambda r: body(F.col(column), r)).alias(out))
+    ranks = fresh(df, "ranks")
+    held = df.select("*", rank_row(df.sparkSession, path).scalar().alias(ranks))
+    return held.select(*df.columns, let(F.col(ranks), F.lit(None).cast(kind), lambda r: body(F.col(column), r)).alias(out))
 
 
 def dictionary(docs: DataFrame, text: str, size: int = DICTIONARY, path: str = VOCABULARY) -> DataFrame:
@@ -132,13 +141,14 @@ def encode(docs: DataFrame, text: str = "text", out: str = "ids", size: int = DI
     """docs with the column out (array<int>): the ids of text without special tokens."""
     spark = docs.sparkSession
     known = bucketed(dictionary(docs, text, size, path), "word", "ids")
-    held = docs.select("*", known.scalar().alias("_known"), rank_row(spark, path).scalar().alias("_ranks"))
+    k, r = fresh(docs, "known"), fresh(docs, "ranks")
+    held = docs.select("*", known.scalar().alias(k), rank_row(spark, path).scalar().alias(r))
     none = F.array().cast("array<int>")
 
     def ids(k: Column, r: Column) -> Column:
         return F.flatten(F.transform(words_of(F.col(text)), lambda w: F.coalesce(look_up(k, w), fold_merges(w, r))))
 
-    return held.select(*docs.columns, F.coalesce(let(F.struct(F.col("_known").alias("k"), F.col("_ranks").alias("r")), none, lambda h: ids(h["k"], h["r"])), none).alias(out))
+    return held.select(*[c for c in docs.columns if c != out], F.coalesce(let(F.struct(F.col(k).alias("k"), F.col(r).alias("r")), none, lambda h: ids(h["k"], h["r"])), none).alias(out))
 
 
 def decode(df: DataFrame, ids: str = "ids", out: str = "text", path: str = VOCABULARY) -> DataFrame:
@@ -146,6 +156,7 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "text", path: str = VOCAB
     spark = df.sparkSession
     pieces = spark.createDataFrame([(v, k) for k, v in read_ranks(path).items()], "id int, piece string")
     row = pieces.agg(F.array_sort(F.collect_list(F.struct("id", "piece"))).alias("s")).select(F.col("s.piece").alias("pieces"))
-    held = df.select("*", row.scalar().alias("_pieces"))
-    text = let(F.col("_pieces"), F.lit(""), lambda p: F.array_join(F.transform(F.col(ids), lambda i: F.get(p, i)), ""))
-    return held.select(*df.columns, F.decode(F.encode(text, "ISO-8859-1"), "UTF-8").alias(out))
+    all_pieces = fresh(df, "pieces")
+    held = df.select("*", row.scalar().alias(all_pieces))
+    text = let(F.col(all_pieces), F.lit(""), lambda p: F.array_join(F.transform(F.col(ids), lambda i: F.get(p, i)), ""))
+    return held.select(*[c for c in df.columns if c != out], F.decode(F.encode(text, "ISO-8859-1"), "UTF-8").alias(out))

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.tokenize import bucketed, let, look_up
+from vellum.llm.tokenize import bucketed, fresh, let, look_up
 from vellum.session import cut
 
 #: Values the model is fitted on, at most.
@@ -152,14 +152,15 @@ class TruncationModel:
     def score(self, df: DataFrame, text: str, group: str | None = None, out: str = "p_cut") -> DataFrame:
         """df with out: the probability that text lost its end."""
         t, g = F.col(text), F.col(group).cast("string") if group else F.lit("all")
-        held = df.select("*", self.weights.scalar().alias("_w"), self.known.scalar().alias("_k"), self.limits.scalar().alias("_l"))
+        w, k, lim = fresh(df, "weights"), fresh(df, "known"), fresh(df, "limits")
+        held = df.select("*", self.weights.scalar().alias(w), self.known.scalar().alias(k), self.limits.scalar().alias(lim))
 
         def total(h: Column) -> Column:
             return F.aggregate(features(t, g, h["k"], at_limit(t, g, h["l"])), F.lit(0.0), lambda a, i: a + F.get(h["w"], i))
 
-        z = let(F.struct(F.col("_w").alias("w"), F.col("_k").alias("k"), F.col("_l").alias("l")), F.lit(0.0), total)
+        z = let(F.struct(F.col(w).alias("w"), F.col(k).alias("k"), F.col(lim).alias("l")), F.lit(0.0), total)
         p = F.when(t.isNull() | ~t.rlike(_SAYS), 0.0).when(t.rlike(_ELLIPSIS), 1.0).otherwise(1 / (1 + F.exp(-z)))
-        return held.select(*df.columns, p.alias(out))
+        return held.select(*[c for c in df.columns if c != out], p.alias(out))
 
 
 def _sample(df: DataFrame, size: int) -> DataFrame:
