@@ -18,9 +18,13 @@ searched in whole.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellum.llm.tokenize import let
+
 DENSITY = 0.75
 
 _NAME = r"[\p{L}][\p{L}\p{N}_ \-.:/\n]{0,58}"
@@ -29,28 +33,43 @@ _ASK = r"insert|fill in|enter|add here|complete|hier einsetzen|einsetzen|einfüg
 #: What fields are called when no underscore tells. Fixed values.
 _FIELDS = r"(?:your |the )?(?:party|client|customer|supplier|company|tenant|landlord|start|end|effective|notice|fee|governing|signing|contract)?[ _]?(?:name|title|amount|date|address|signatory|territory|jurisdiction|law|percentage|party|client|currency|term)(?: of (?:the )?(?:supplier|client|party|company|services))?|description of services|name des lieferanten|vertragspartner|betrag|datum|laufzeit(?: monate)?|ort|raison sociale|nom du bailleur|montant|durée|lieu|raz[oó]n social|nombre del \p{L}+|importe|plazo|lugar|fecha|ragione sociale|nome del fornitore|importo|luogo|data|durata"
 _IDENT = r"[\p{L}\p{N}]+(?:_[\p{L}\p{N}]+)+"
-#: Before an opening delimiter: not in quotation marks.
-_FREE = r"(?<![“„\"'‘‚«`])"
+_LETTER = r"[\p{L}\p{N}]"
+
+
+def _after(what: str, opening: str) -> str:
+    """opening where none of what stands before it. The literal comes first, so that the search skips to it."""
+    return rf"{opening}(?<!{what}{opening})"
+
+
+def _unquoted(opening: str, more: str = "") -> str:
+    return _after(r"[“„\"'‘‚«`" + more + "]", opening)
+
 
 #: One grammar per delimiter.
 FIELD_GRAMMARS = {
-    "double_brace": _FREE + r"\{\{\{?\s*[#/&^>]?\s*" + _NAME + r"\s*\}\}",
+    "double_brace": _unquoted(r"\{\{") + r"\{?\s*[#/&^>]?\s*" + _NAME + r"\s*\}\}",
     "template_tag": r"\{%-?\s*" + _NAME + r"\s*-?%\}|<%[=\-#]?\s*" + _NAME + r"\s*-?%>",
     "dollar": r"\$\{\s*" + _NAME + r"\s*\}|\$\(" + _IDENT + r"\)",
-    "single_brace": _FREE + r"(?<![{$%\\])\{\s*\p{L}[\p{L}\p{N}_ \-\n]{1,58}\s*\}(?!\})",
-    "double_square": _FREE + r"\[\[\s*" + _NAME + r"\s*\]\]",
-    "square": _FREE + r"(?i)(?<!\[)\[\s*(?:(?:" + _ASK + r")\b[^\[\]]{0,60}|" + _IDENT + r"|(?:" + _FIELDS + r")|[•●_▪■ \t]*[•●_▪■][•●_▪■ \t]*|[^\[\]]{0,40}\b(?:" + _ASK + r"))\s*\](?!\])",
-    "angle": _FREE + r"<<\s*" + _NAME + r"\s*>>|(?i)<\s*(?:(?:" + _ASK + r")\b[^<>]{0,60}|" + _IDENT + r"|(?:" + _FIELDS + r")|[^<>@/]{0,40}\b(?:" + _ASK + r"))\s*>",
-    "capital_angle": _FREE + r"<\s*\p{Lu}{2}[\p{Lu} _\n]{1,58}>",
+    "single_brace": _unquoted(r"\{", r"{$%\\") + r"\s*\p{L}[\p{L}\p{N}_ \-\n]{1,58}\s*\}(?!\})",
+    "double_square": _unquoted(r"\[\[") + r"\s*" + _NAME + r"\s*\]\]",
+    "square": "(?i)" + _unquoted(r"\[", r"\[") + r"\s*(?:(?:" + _ASK + r")\b[^\[\]]{0,60}|" + _IDENT + r"|(?:" + _FIELDS + r")|[•●_▪■ \t]*[•●_▪■][•●_▪■ \t]*|[^\[\]]{0,40}\b(?:" + _ASK + r"))\s*\](?!\])",
+    "angle": _unquoted("<<") + r"\s*" + _NAME + r"\s*>>|(?i)<\s*(?:(?:" + _ASK + r")\b[^<>]{0,60}|" + _IDENT + r"|(?:" + _FIELDS + r")|[^<>@/]{0,40}\b(?:" + _ASK + r"))\s*>",
+    "capital_angle": _unquoted("<") + r"\s*\p{Lu}{2}[\p{Lu} _\n]{1,58}>",
     "guillemet": r"«(?:" + _IDENT + r"|[\p{Lu}_]{3,40}|\p{L}{3,40}|(?i:" + _ASK + r")[^«»]{0,40}|(?i:" + _FIELDS + r"))»",
-    "percent": r"(?<![\p{L}\p{N}%])%[\p{L}_]{3,60}%(?![\p{L}\p{N}])|%\(\w+\)[sd]|(?<![\p{L}\p{N}%])%[sd](?![\p{L}\p{N}%])|%%[\p{L}_ ]{2,60}%%",
-    "hash": r"(?<![\p{L}\p{N}#])##?[\p{L}][\p{L}_]{2,60}##?(?![\p{L}\p{N}])",
-    "at": r"@@[\p{L}][\p{L}_ ]{1,60}@@|(?<![\p{L}\p{N}.@])@[\p{Lu}_]{3,60}@",
-    "crosses": r"(?<![\p{L}\p{N}])[Xx]{4,}(?![\p{L}\p{N}])",
-    "mark": r"(?<![\p{L}\p{N}])(?:TBD|TBC|FIXME)(?![\p{L}\p{N}])",
+    "percent": _after(r"[\p{L}\p{N}%]", "%") + rf"(?:[\p{{L}}_]{{3,60}}%(?!{_LETTER})|\(\w+\)[sd]|[sd](?![\p{{L}}\p{{N}}%])|%[\p{{L}}_ ]{{2,60}}%%)",
+    "hash": _after(r"[\p{L}\p{N}#]", "#") + rf"#?\p{{L}}[\p{{L}}_]{{2,60}}##?(?!{_LETTER})",
+    "at": r"@@\p{L}[\p{L}_ ]{1,60}@@|" + _after(r"[\p{L}\p{N}.@]", "@") + r"[\p{Lu}_]{3,60}@",
+    "crosses": _after(_LETTER, "(?:XXXX|xxxx|Xxxx)") + rf"[Xx]*(?!{_LETTER})",
+    "mark": _after(_LETTER, "(?:TBD|TBC|FIXME)") + rf"(?!{_LETTER})",
     "blank": r"_{3,}|(?<=20)__(?!\p{L})",
 }
 
+#: What a text must hold, one of each, for its grammar to be tried: a plain search is many times cheaper than a pattern.
+_OPENINGS = {
+    "double_brace": ["{{"], "template_tag": ["{%", "<%"], "dollar": ["${", "$("], "single_brace": ["{"], "double_square": ["[["], "square": ["["], "angle": ["<"], "capital_angle": ["<"],
+    "guillemet": ["«"], "percent": ["%"], "hash": ["#"], "at": ["@"], "crosses": ["XXXX", "xxxx", "Xxxx"], "mark": ["TBD", "TBC", "FIXME"], "blank": ["__"],
+}
+
 _CODE = r"(?s)```.*?```|~~~.*?~~~|<pre>.*?</pre>|<code>.*?</code>|(?<!`)`[^`\n]+`(?!`)"
 #: Lines for signatures: a blank that ends a line after a colon, or fills a line, or stands beside another such.
 _SIGNATURE = r"(?m)^[^\n_]{0,160}[:：][ \t]*_{3,}[ \t.]*\r?$|^[ \t]*(?:_{3,}[ \t]*)+\r?$|^[ \t]*(?:by|name|title|date|place|signature|signed|ort|datum|unterschrift|fait à|lieu|firma|fecha|luogo|data)\b[^\n_]{0,60}_{3,}[ \t]*\r?$"
@@ -64,7 +83,7 @@ PHRASES = [
     r"página no encontrada", r"acceso denegado", r"sesión caducada", r"servicio (?:temporalmente )?no disponible", r"se ha producido un error", r"demasiadas solicitudes",
     r"pagina non trovata", r"accesso negato", r"sessione scaduta", r"servizio (?:temporaneamente )?non disponibile", r"si è verificato un errore", r"troppe richieste",
     # what follows them
-    r"the file you asked for was moved or has been removed", r"the archive server did not reply", r"the upstream host sent an invalid reply", r"you lack the rights to open this record", r"your login is no longer valid", r"we are working on it", r"our systems noticed unusual traffic", r"the preview service failed to load", r"sign in again", r"go back to the start page", r"contact the helpdesk", r"search the register", r"try again", r"please try again", r"reload the page", r"reference:? [0-9a-f]{6,}", r"retry",
+    r"the file you asked for was moved or has been removed", r"the archive server did not reply", r"the upstream host sent an invalid reply", r"you lack the rights to open this record", r"your login is no longer valid", r"we are working on it", r"our systems noticed unusual traffic", r"the preview service failed to load", r"sign in again", r"go back to the start page", r"contact the helpdesk", r"search the register", r"try again", r"please try again", r"reload the page", r"reference:? [0-9a-f]{6,}", r"\([45]\d\d/[0-9a-f]{4,}\)", r"retry",
     r"das gewünschte dokument wurde verschoben oder gelöscht", r"der server hat nicht rechtzeitig geantwortet", r"bitte melden sie sich erneut an", r"erneut versuchen", r"zur startseite", r"laden sie die seite",
     r"le document demandé a été déplacé ou supprimé", r"le serveur n[’']a pas répondu à temps", r"veuillez vous reconnecter", r"réessayer", r"retour à l[’']accueil", r"rechargez ensuite la page",
     r"el documento solicitado se ha movido o eliminado", r"el servidor no respondió a tiempo", r"vuelva a iniciar sesión", r"inicie sesión de nuevo", r"reintentar", r"volver al inicio", r"después vuelva a cargar la página",
@@ -78,42 +97,60 @@ PHRASES = [
     r"sample (?:document|paragraph|text)", r"for demonstration, no content", r"this page was created to test", r"test (?:document|page|input|text|upload)\b", r"dummy (?:wording|text)", r"your heading here", r"text of the clause goes here", r"(?:your )?text (?:goes )?here", r"platzhaltertext", r"blindtext", r"hier steht", r"texte? (?:de remplissage|provisoire|fictif)", r"texto de (?:relleno|ejemplo|prueba)", r"testo (?:segnaposto|di prova|di esempio|fittizio)", r"content to follow", r"body text", r"lorem ipsum", r"(?:paragraph|heading|bullet|item|clause title|clause) \d+$", r"\d+\. (?:heading|bullet|item|clause title|paragraph|section|title) \d+$", r"tbd\.?$", r"tba\.?$", r"[….\s]+$", r"do not index\b",
 ]
 _PHRASE = "^(?:" + "|".join(PHRASES) + ")"
+#: What may stand before a phrase in its piece.
+_LEAD = r"[\s\p{Z}\p{Cf}#*\-–>|•\"“]"
+#: A phrase at the beginning of any piece, or more: ends of pieces are not looked at.
+_ANY_PHRASE = rf"(?m)(?:^|[.!?…]\s|>){_LEAD}*(?:" + "|".join("…" if p.startswith("[….") else p.replace("$", "") for p in PHRASES) + ")"
 
 #: The vocabulary of pseudo-Latin filler. Fixed values.
 LATIN = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua donec fusce integer mauris nulla nisi ornare porta pulvinar sapien semper turpis varius velit vitae egestas feugiat lectus libero dictum vestibulum viverra quis nunc nam in ac at id eu vel non est enim urna massa justo tellus augue risus purus cras morbi proin aenean".split()
-_KEYS = r"^(?:[asdfghjklöäü]|[qwertzuiopü]|[asdfjklöqwer])+$"
+_KEYS = r"^[asdfghjklöäqwer]+$"
 _BARE = r"[\s\p{Z}\p{Cc}\p{Cf}]"
 
 
 def open_fields(text: Column) -> Column:
     """Array of the names of the grammars that find an open field in text."""
-    plain = F.regexp_replace(text, _CODE, " ")
-    prose = F.regexp_replace(plain, "(?i)" + _SIGNATURE, " ")
-    tests = [F.when((prose if n == "blank" else plain).rlike(g), F.lit(n)) for n, g in FIELD_GRAMMARS.items()]
+    coded = text.rlike("`|~~~|<pre>|<code>")
+    plain = F.when(coded, F.regexp_replace(text, _CODE, " ")).otherwise(text)
+    prose = F.when(F.contains(text, F.lit("__")), F.regexp_replace(plain, "(?i)" + _SIGNATURE, " ")).otherwise("")
+    holds = lambda n: reduce(Column.__or__, [F.contains(text, F.lit(x)) for x in _OPENINGS[n]])
+    tests = [F.when(holds(n) & (prose if n == "blank" else plain).rlike(g), F.lit(n)) for n, g in FIELD_GRAMMARS.items()]
     return F.array_compact(F.array(*tests))
 
 
 def message_share(text: Column) -> Column:
-    """The part of the letters and digits of text that stands in pieces of messages or filler, 0 to 1."""
-    pieces = F.split(F.lower(text), r"\r?\n|(?<=[.!?…])\s+|(?<=</?(?:title|h1|p|head|body|html)>)")
-    size = lambda p: F.length(F.regexp_replace(p, r"[^\p{L}\p{N}…]", ""))
-    bare = lambda p: F.regexp_replace(p, r"^[\s\p{Z}\p{Cf}#*\-–>|•\"“]+|[\s\p{Z}\p{Cf}]+$", "")
-    total = F.aggregate(pieces, F.lit(0), lambda a, p: a + size(p))
+    """The part of the letters and digits of text that stands in pieces of messages or filler, 0 to 1.
+
+    One search over the whole text tells first whether any piece begins with a phrase; only then is the text cut up.
+    """
+    low = F.lower(text)
+    size = lambda p: F.length(F.regexp_replace(p, r"[^\p{L}\p{N}…]+", ""))
+    bare = lambda p: F.regexp_replace(p, rf"^{_LEAD}+|[\s\p{{Z}}\p{{Cf}}]+$", "")
+    pieces = F.split(low, r"\r?\n|(?<=[.!?…])\s+|(?<=</?(?:title|h1|p|head|body|html)>)")
     hits = F.aggregate(pieces, F.lit(0), lambda a, p: a + F.when(bare(p).rlike(_PHRASE), size(p)).otherwise(0))
-    return F.when(total > 0, hits / total).otherwise(0.0)
+    total = size(low)
+    return F.when(low.rlike(_ANY_PHRASE), F.coalesce(hits / F.nullif(total, F.lit(0)), F.lit(0.0))).otherwise(0.0)
 
 
 def is_filler(text: Column) -> Column:
     """Few different words, or nearly all from a filler vocabulary, or typed on neighbouring keys."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    n = F.size(words)
-    share = lambda test: F.size(F.filter(words, test)) / n
-    pieces = F.filter(F.transform(F.split(F.lower(text), r"\r?\n|(?<=[.!?…])\s+"), lambda p: F.regexp_replace(p, r"[^\p{L}\p{N}]", "")), lambda p: p != "")
-    same = (F.size(pieces) >= 3) & (F.size(F.array_distinct(pieces)) == 1)
-    few = (n >= 5) & (F.size(F.array_distinct(words)) <= 2)
-    latin = (n >= 5) & (share(lambda w: w.isin(*LATIN)) >= 0.8)
-    keys = (n >= 3) & (share(lambda w: w.rlike(_KEYS)) >= 0.9)
-    return F.when(n > 0, same | few | latin | keys).otherwise(False)
+    no = F.lit(False)
+
+    def by_words(words: Column) -> Column:
+        n = F.size(words)
+        share = lambda test: F.size(F.filter(words, test)) / n
+        few = (n >= 5) & (F.size(F.array_distinct(words)) <= 2)
+        latin = (n >= 5) & (share(lambda w: w.isin(*LATIN)) >= 0.8)
+        keys = (n >= 3) & (share(lambda w: w.rlike(_KEYS)) >= 0.9)
+        return F.when(n > 0, few | latin | keys).otherwise(no)
+
+    def by_pieces(pieces: Column) -> Column:
+        return (F.size(pieces) >= 3) & (F.size(F.array_distinct(pieces)) == 1)
+
+    low = F.lower(text)
+    pieces = F.filter(F.transform(F.split(low, r"\r?\n|(?<=[.!?…])\s+"), lambda p: F.regexp_replace(p, r"[^\p{L}\p{N}]+", "")), lambda p: p != "")
+    words = F.filter(F.split(low, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.coalesce(let(pieces, no, by_pieces) | let(words, no, by_words), no)
 
 
 def residue(docs: DataFrame, text: str = "text", density: float = DENSITY) -> DataFrame:
