@@ -21,18 +21,18 @@ from pyspark.sql import functions as F
 from vellum.functions import bloom
 from vellum.session import cut
 
-#: White space and characters without width.
-_INVISIBLE = r"[\s\p{Z}\x{0085}\x{200B}-\x{200D}\x{2060}\x{FEFF}]"
+#: White space and characters without width. Taken out by translate, which is many times cheaper than a pattern.
+_INVISIBLE = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200E))) + "\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
 
 
 def is_blank(value: Column) -> Column:
     """Null, or nothing but white space and characters without width."""
-    return value.isNull() | (F.regexp_replace(value, _INVISIBLE, "") == "")
+    return value.isNull() | (F.translate(value, _INVISIBLE, "") == "")
 
 
 def normal_key(value: Column) -> Column:
     """The key meant by value: lower case without hyphens, braces and white space."""
-    return F.lower(F.regexp_replace(value.cast("string"), _INVISIBLE[:-1] + r"{}\-]", ""))
+    return F.lower(F.translate(value.cast("string"), _INVISIBLE + "{}-", ""))
 
 
 @dataclass(frozen=True)
