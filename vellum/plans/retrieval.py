@@ -1,4 +1,7 @@
-"""Queries of retrieval and context assembly. Tenant of a document is its source; questions are those of the golden set."""
+"""Queries of retrieval and context assembly. Tenant of a document is its source; questions are every 20th of the golden set.
+
+The lexical searches come in two forms: within one tenant, and under the name with _all over every document, whatever its source.
+"""
 
 from __future__ import annotations
 
@@ -23,14 +26,20 @@ def _tenant(spark: SparkSession, directory: str) -> DataFrame:
     return table(spark, directory, "documents", "doc_id", "source", "text").filter(F.col("source") == _TENANT)
 
 
+def _everything(spark: SparkSession, directory: str) -> DataFrame:
+    """All documents as one corpus, those without a source too."""
+    return table(spark, directory, "documents", "doc_id", "text").filter("text IS NOT NULL")
+
+
 _D = f"(SELECT doc_id, text FROM documents WHERE source = '{_TENANT}' AND text IS NOT NULL)"
+_D_ALL = "(SELECT doc_id, text FROM documents WHERE text IS NOT NULL)"
 _Q = "(SELECT source_row, question FROM golden_dataset WHERE source_row % 20 = 0)"
 
 
-def _bm25_sql(k: int) -> str:
+def _bm25_sql(k: int, docs: str = _D) -> str:
     split = lambda c: f"list_filter(regexp_split_to_array(lower({c}), '\\s+'), lambda t: t <> '')"
     return f"""
-ds AS (SELECT doc_id, {split('text')} AS ts FROM {_D}), n AS (SELECT count(*) AS n_docs, avg(len(ts)) AS avg_dl FROM ds),
+ds AS (SELECT doc_id, {split('text')} AS ts FROM {docs}), n AS (SELECT count(*) AS n_docs, avg(len(ts)) AS avg_dl FROM ds),
 tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(ts) AS dl, unnest(ts) AS term FROM ds) GROUP BY 1, 2, 3),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
 qs AS (SELECT source_row, term, count(*) AS qtf FROM (SELECT source_row, unnest({split('question')}) AS term FROM {_Q}) GROUP BY 1, 2),
@@ -44,6 +53,11 @@ def bm25_topk(spark: SparkSession, directory: str) -> DataFrame:
     return rt.bm25(_questions(spark, directory), "source_row", "question", _tenant(spark, directory), "doc_id", "text", 10)
 
 
+@REGISTRY.query("bm25_topk_all", f"WITH {_bm25_sql(10, _D_ALL)} SELECT source_row, doc_id, score, CAST(rank AS INT) AS rank FROM lex")
+def bm25_topk_all(spark: SparkSession, directory: str) -> DataFrame:
+    return rt.bm25(_questions(spark, directory), "source_row", "question", _everything(spark, directory), "doc_id", "text", 10)
+
+
 @REGISTRY.query("bm25_stats", r"SELECT source, count(*) AS n_docs, round(avg(len(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda t: t <> ''))), 6) AS avg_dl FROM documents WHERE text IS NOT NULL GROUP BY 1")
 def bm25_stats(spark: SparkSession, directory: str) -> DataFrame:
     s = rt.collection_stats(table(spark, directory, "documents", "source", "text"), ["source"], "text")
@@ -62,38 +76,58 @@ covr AS (SELECT *, row_number() OVER (PARTITION BY source_row ORDER BY score DES
 fused AS (SELECT source_row, doc_id, round(sum(0.5 / (60 + rank)), 9) AS score FROM (SELECT source_row, doc_id, rank FROM lex UNION ALL SELECT source_row, doc_id, rank FROM covr) GROUP BY 1, 2)"""
 
 
-def _coverage_ranking(spark: SparkSession, directory: str, k: int) -> DataFrame:
-    """Documents by the share of the question's terms they hold: the stand-in for a second retriever."""
+def _coverage(spark: SparkSession, directory: str, corpus: DataFrame) -> DataFrame:
+    """The share of the question's terms that each document holds: the stand-in for a second retriever."""
     asked = _questions(spark, directory).select("source_row", F.array_distinct(rt.terms(F.col("question"))).alias("t")).select("source_row", F.size("t").alias("n"), F.explode("t").alias("term"))
-    held = rt.postings(_tenant(spark, directory), [], "doc_id", "text").select("doc_id", "term")
-    scored = asked.join(held, "term").groupBy("source_row", "doc_id").agg(F.round(F.count(F.lit(1)) / F.max("n"), 6).alias("score"))
-    return rt.top_k(scored, "source_row", "doc_id", k)
+    held = rt.postings(corpus, [], "doc_id", "text").select("doc_id", "term")
+    return asked.join(held, "term").groupBy("source_row", "doc_id").agg(F.round(F.count(F.lit(1)) / F.max("n"), 6).alias("score"))
+
+
+def _fused(spark: SparkSession, directory: str, corpus: DataFrame) -> DataFrame:
+    lexical = rt.bm25(_questions(spark, directory), "source_row", "question", corpus, "doc_id", "text", 20)
+    return rt.fuse([(lexical, 0.5), (rt.top_k(_coverage(spark, directory, corpus), "source_row", "doc_id", 20), 0.5)], "source_row", "doc_id")
 
 
-def _fused(spark: SparkSession, directory: str) -> DataFrame:
-    lexical = rt.bm25(_questions(spark, directory), "source_row", "question", _tenant(spark, directory), "doc_id", "text", 20)
-    return rt.fuse([(lexical, 0.5), (_coverage_ranking(spark, directory, 20), 0.5)], "source_row", "doc_id")
+def _fusion_sql(docs: str) -> str:
+    return f"WITH {_bm25_sql(20, docs)}, {_COVER} SELECT source_row, doc_id, score, CAST(row_number() OVER (PARTITION BY source_row ORDER BY score DESC, doc_id) AS INT) AS rank FROM fused"
 
 
-@REGISTRY.query("rrf_fusion", f"WITH {_bm25_sql(20)}, {_COVER} SELECT source_row, doc_id, score, CAST(row_number() OVER (PARTITION BY source_row ORDER BY score DESC, doc_id) AS INT) AS rank FROM fused")
+@REGISTRY.query("rrf_fusion", _fusion_sql(_D))
 def rrf_fusion(spark: SparkSession, directory: str) -> DataFrame:
-    return _fused(spark, directory)
+    return _fused(spark, directory, _tenant(spark, directory))
 
 
-@REGISTRY.query(
-    "hybrid_search",
-    f"WITH {_bm25_sql(20)}, {_COVER}, f20 AS (SELECT *, row_number() OVER (PARTITION BY source_row ORDER BY score DESC, doc_id) AS fr FROM fused QUALIFY fr <= 20) "
-    "SELECT source_row, doc_id, CAST(row_number() OVER (PARTITION BY source_row ORDER BY coalesce(c.score, 0) DESC, fr) AS INT) AS rank FROM f20 LEFT JOIN cov c USING (source_row, doc_id) QUALIFY rank <= 5",
-)
-def hybrid_search(spark: SparkSession, directory: str) -> DataFrame:
+@REGISTRY.query("rrf_fusion_all", _fusion_sql(_D_ALL))
+def rrf_fusion_all(spark: SparkSession, directory: str) -> DataFrame:
+    return _fused(spark, directory, _everything(spark, directory))
+
+
+def _hybrid_sql(docs: str) -> str:
+    return (
+        f"WITH {_bm25_sql(20, docs)}, {_COVER}, f20 AS (SELECT *, row_number() OVER (PARTITION BY source_row ORDER BY score DESC, doc_id) AS fr FROM fused QUALIFY fr <= 20) "
+        "SELECT source_row, doc_id, CAST(row_number() OVER (PARTITION BY source_row ORDER BY coalesce(c.score, 0) DESC, fr) AS INT) AS rank FROM f20 LEFT JOIN cov c USING (source_row, doc_id) QUALIFY rank <= 5"
+    )
+
+
+def _hybrid(spark: SparkSession, directory: str, corpus: DataFrame) -> DataFrame:
     """Twenty fused hits, reranked by the stand-in scorer (term coverage, then fusion), five kept."""
-    hits = _fused(spark, directory).filter("rank <= 20").select("source_row", "doc_id", F.col("rank").alias("fr"))
-    cover = _coverage_ranking(spark, directory, 1 << 30).select("source_row", "doc_id", F.col("score").alias("cover"))
+    hits = _fused(spark, directory, corpus).filter("rank <= 20").select("source_row", "doc_id", F.col("rank").alias("fr"))
+    cover = _coverage(spark, directory, corpus).select("source_row", "doc_id", F.col("score").alias("cover"))
     w = Window.partitionBy("source_row").orderBy(F.desc(F.coalesce("cover", F.lit(0.0))), "fr")
     ranked = hits.join(cover, ["source_row", "doc_id"], "left").withColumn("rank", F.row_number().over(w))
     return ranked.filter("rank <= 5").select("source_row", "doc_id", "rank")
 
 
+@REGISTRY.query("hybrid_search", _hybrid_sql(_D))
+def hybrid_search(spark: SparkSession, directory: str) -> DataFrame:
+    return _hybrid(spark, directory, _tenant(spark, directory))
+
+
+@REGISTRY.query("hybrid_search_all", _hybrid_sql(_D_ALL))
+def hybrid_search_all(spark: SparkSession, directory: str) -> DataFrame:
+    return _hybrid(spark, directory, _everything(spark, directory))
+
+
 def _dense_sql(where: str, partition: str, k: int) -> str:
     return f"""SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY {partition} ORDER BY score DESC, vec_id) AS INT) AS rank FROM (
   SELECT q.vec_id AS query_id, e.vec_id, e.label, round(list_dot_product(q.v, e.v) / sqrt(list_dot_product(q.v, q.v) * list_dot_product(e.v, e.v)), 6) AS score
@@ -221,18 +255,31 @@ def compare_context(spark: SparkSession, directory: str) -> DataFrame:
     return g.select("id", "file", F.sha2(F.array_join(F.col("s.part"), "\n\n"), 256).alias("block_sha"), "ordinal")
 
 
-_SWAP = f"""WITH {_bm25_sql(20)}, ch AS (SELECT l.source_row, l.rank, l.doc_id, l.doc_id // 10 AS parent_id FROM lex l), p AS (SELECT source_row, parent_id, min(rank) AS first_rank, list(doc_id ORDER BY rank) AS children FROM ch GROUP BY 1, 2)"""
+def _swap_sql(docs: str) -> str:
+    return (
+        f"""WITH {_bm25_sql(20, docs)}, ch AS (SELECT l.source_row, l.rank, l.doc_id, l.doc_id // 10 AS parent_id FROM lex l), p AS (SELECT source_row, parent_id, min(rank) AS first_rank, list(doc_id ORDER BY rank) AS children FROM ch GROUP BY 1, 2)"""
+        " SELECT source_row, parent_id, CAST(first_rank AS INT) AS first_rank, children, CAST(row_number() OVER (PARTITION BY source_row ORDER BY first_rank) AS INT) AS rank FROM p"
+    )
 
 
-@REGISTRY.query("parent_swap", _SWAP + " SELECT source_row, parent_id, CAST(first_rank AS INT) AS first_rank, children, CAST(row_number() OVER (PARTITION BY source_row ORDER BY first_rank) AS INT) AS rank FROM p")
-def parent_swap(spark: SparkSession, directory: str) -> DataFrame:
+def _swapped(spark: SparkSession, directory: str, corpus: DataFrame) -> DataFrame:
     """Hits replaced by their parents (ten documents each here), in the order first seen, children in rank order."""
-    hits = rt.bm25(_questions(spark, directory), "source_row", "question", _tenant(spark, directory), "doc_id", "text", 20)
+    hits = rt.bm25(_questions(spark, directory), "source_row", "question", corpus, "doc_id", "text", 20)
     g = hits.withColumn("parent_id", F.floor(F.col("doc_id") / 10)).groupBy("source_row", "parent_id").agg(F.min("rank").alias("first_rank"), F.array_sort(F.collect_list(F.struct("rank", "doc_id"))).alias("s"))
     w = Window.partitionBy("source_row").orderBy("first_rank")
     return g.select("source_row", "parent_id", "first_rank", F.col("s.doc_id").alias("children"), F.row_number().over(w).alias("rank"))
 
 
+@REGISTRY.query("parent_swap", _swap_sql(_D))
+def parent_swap(spark: SparkSession, directory: str) -> DataFrame:
+    return _swapped(spark, directory, _tenant(spark, directory))
+
+
+@REGISTRY.query("parent_swap_all", _swap_sql(_D_ALL))
+def parent_swap_all(spark: SparkSession, directory: str) -> DataFrame:
+    return _swapped(spark, directory, _everything(spark, directory))
+
+
 @REGISTRY.query("chunk_search", None)
 def chunk_search(spark: SparkSession, directory: str) -> DataFrame:
     """BM25 over window chunks of all pages, hits swapped for their pages."""
