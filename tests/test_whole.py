@@ -22,3 +22,18 @@ def test_searches_reach_every_source(spark, tmp_path):
 def test_searches_read_all_documents(spark):
     hits = QUERIES["bm25_topk_all"](spark, DATA).join(table(spark, DATA, "documents", "doc_id", "source"), "doc_id")
     assert hits.agg(F.count_distinct("source").alias("n")).first().n > 1
+
+
+def test_headings_end_with_any_line_end(spark, tmp_path):
+    head = "12 GENERAL TERMS"
+    rows = [(1, f"intro\n{head}\nmore"), (2, f"intro\r\n{head}\r\nmore"), (3, f"intro\r{head}\rmore"), (4, f"{head}\r\n"), (5, "no\r\nheading"), (6, "ARTICLE 5 Fees\u2028due\r\nmore"), (7, None)]
+    spark.createDataFrame(rows, "page_id bigint, page_content string").write.parquet(f"{tmp_path}/document_pages.parquet")
+    got = {r.page_id: r.hint for r in QUERIES["section_hint_all"](spark, str(tmp_path)).collect()}
+    assert got == {1: head, 2: head, 3: head, 4: head, 5: None, 6: "ARTICLE 5 Fees\u2028due", 7: None}
+
+
+def test_words_beside_accents(spark, tmp_path):
+    asked = {"Gilt das für it?": True, "Perché it applies": True, "éit": False, "Qualité": False, "ité": False, "Añade this, por favor": True, "¿THE SAME?": True, "it": True, "site": False, "it_1": False, None: None}
+    spark.createDataFrame(list(enumerate(asked)), "source_row bigint, question string").write.parquet(f"{tmp_path}/golden_dataset.parquet")
+    got = {r.source_row: r.refers for r in QUERIES["needs_rephrase_all"](spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate(asked.values()))

@@ -29,6 +29,8 @@ CATEGORY_PATTERNS = [
 ]
 DEFAULT_CATEGORY = "development"
 SECTION_PATTERN = r"(?m)^((?:ARTICLE|SECTION|SCHEDULE|EXHIBIT|ANNEX|APPENDIX)\s+[\w\d]+.*|(?:Section|Article)\s+\d[\d\.]*\s+\S.*|\d+[\.\d]*\s+[A-Z][A-Z ]{2,50}$)"
+#: What stands beside a word, in classes that all engines read alike, unlike their word ends beside letters with accents.
+BESIDE = r"[^\p{L}\p{M}\p{N}_]"
 FOOTER_PATTERN = r"(?s)(?:\s*\[\d+\])*\s*Sources Used:.*$"
 
 
@@ -52,7 +54,7 @@ def intent(question: Column) -> Column:
 
 def refers_back(question: Column) -> Column:
     """Whether a word asks for what was said before."""
-    return question.rlike(rf"(?i)\b({REFERENCE_WORDS})\b")
+    return question.rlike(rf"(?iu)(?:^|{BESIDE})(?:{REFERENCE_WORDS})(?:$|{BESIDE})")
 
 
 def normal_space(text: Column, lower: bool = True) -> Column:
@@ -76,8 +78,9 @@ def clean_page(text: Column) -> Column:
 
 
 def section_hint(text: Column) -> Column:
-    """The first line like a heading within 500 characters, cut to 100; null without one."""
-    return F.nullif(F.substring(strip(F.regexp_extract(F.substring(text, 1, 500), SECTION_PATTERN, 0)), 1, 100), F.lit(""))
+    """The first line like a heading within 500 characters, cut to 100; null without one. Lines end in LF, CRLF or CR."""
+    lines = F.regexp_replace(F.substring(text, 1, 500), r"\r\n?", "\n")
+    return F.nullif(F.substring(strip(F.regexp_extract(lines, "(?d)" + SECTION_PATTERN, 0)), 1, 100), F.lit(""))
 
 
 def without_footer(text: Column) -> Column:

@@ -64,10 +64,18 @@ def offtopic_gate(spark: SparkSession, directory: str) -> DataFrame:
 
 @REGISTRY.query("needs_rephrase", rf"SELECT source_row, regexp_matches(question, '(?i)\b({tx.REFERENCE_WORDS})\b') AS refers FROM golden_dataset WHERE regexp_matches(question, '^[\x00-\x7f]*$')")
 def needs_rephrase(spark: SparkSession, directory: str) -> DataFrame:
-    """English questions; the engines differ on word ends beside letters with accents."""
+    """Questions in ASCII, for which any engine's word ends serve; needs_rephrase_all has all."""
     return table(spark, directory, "golden_dataset").filter(F.col("question").rlike(r"^[\x00-\x7f]*$")).select("source_row", tx.refers_back(F.col("question")).alias("refers"))
 
 
+_BESIDE = rf"(?:^|{tx.BESIDE})(?:{tx.REFERENCE_WORDS})(?:$|{tx.BESIDE})"
+
+
+@REGISTRY.query("needs_rephrase_all", f"SELECT source_row, regexp_matches(question, '(?i){_BESIDE}') AS refers FROM golden_dataset")
+def needs_rephrase_all(spark: SparkSession, directory: str) -> DataFrame:
+    return table(spark, directory, "golden_dataset", "source_row", "question").select("source_row", tx.refers_back(F.col("question")).alias("refers"))
+
+
 @REGISTRY.query("refusal_flag", f"SELECT result_id, {_any('response', tx.REFUSAL_MARKERS['service'])} AS service, {_any('response', tx.REFUSAL_MARKERS['evaluation'])} AS evaluation FROM ragas_eval_results WHERE response IS NOT NULL")
 def refusal_flag(spark: SparkSession, directory: str) -> DataFrame:
     r = table(spark, directory, "ragas_eval_results").filter("response IS NOT NULL")
@@ -81,6 +89,13 @@ def section_hint(spark: SparkSession, directory: str) -> DataFrame:
     return p.select("page_id", tx.section_hint(F.col("page_content")).alias("hint"))
 
 
+@REGISTRY.query("section_hint_all", rf"""SELECT page_id, nullif(substr(regexp_replace(regexp_extract(regexp_replace(substr(page_content, 1, 500), '\r\n?', chr(10), 'g'),
+  '{tx.SECTION_PATTERN}', 0), '^\s+|\s+$', '', 'g'), 1, 100), '') AS hint FROM document_pages""")
+def section_hint_all(spark: SparkSession, directory: str) -> DataFrame:
+    """Pages with carriage returns too."""
+    return table(spark, directory, "document_pages", "page_id", "page_content").select("page_id", tx.section_hint(F.col("page_content")).alias("hint"))
+
+
 @REGISTRY.query("strip_footer", r"SELECT result_id, regexp_replace(regexp_replace(response || ' [1] [2]' || chr(10) || 'Sources Used:' || chr(10) || '[1] ' || doc_source_file, '(?s)(?:\s*\[\d+\])*\s*Sources Used:.*$', ''), '\s+$', '') AS answer FROM ragas_eval_results WHERE response IS NOT NULL")
 def strip_footer(spark: SparkSession, directory: str) -> DataFrame:
     r = table(spark, directory, "ragas_eval_results").filter("response IS NOT NULL")
