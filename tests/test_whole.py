@@ -1,5 +1,7 @@
 """Queries that take in every row: what the forms under a filter leave out."""
 
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from tests.conftest import DATA
@@ -37,3 +39,24 @@ def test_words_beside_accents(spark, tmp_path):
     spark.createDataFrame(list(enumerate(asked)), "source_row bigint, question string").write.parquet(f"{tmp_path}/golden_dataset.parquet")
     got = {r.source_row: r.refers for r in QUERIES["needs_rephrase_all"](spark, str(tmp_path)).collect()}
     assert got == dict(enumerate(asked.values()))
+
+
+def provenance_by_force(golden, pages):
+    """Each passage against each page."""
+    squeezed = lambda t: " ".join((t or "").replace("\0", " ").lower().split())
+    texts, out = {r.page_id: squeezed(r.page_content) for r in pages}, {}
+    for r in golden:
+        p = squeezed((r.reference_contexts or [None])[0])
+        held = {i: max(n for n in (400, 250, 150, 80) if p[:n] in t) for i, t in texts.items() if len(p[:80]) >= 40 and p[:80] in t}
+        best = [i for i, n in held.items() if n == max(held.values())]
+        reason = "no_reference_contexts" if not p else "no_match" if not best else "matched" if len(best) == 1 else "ambiguous"
+        out[r.source_row] = (min(best, default=None), max(held.values(), default=None), len(best), reason)
+    return out
+
+
+def test_provenance_of_all_golden_rows(spark):
+    golden = table(spark, DATA, "golden_dataset", "source_row", "reference_contexts").collect()
+    want = provenance_by_force(golden, table(spark, DATA, "document_pages", "page_id", "page_content").collect())
+    got = {r.source_row: (r.page_id, r.prefix, r.n_docs, r.reason) for r in QUERIES["provenance_match_all"](spark, DATA).collect()}
+    assert len(got) == len(golden) and got == want
+    assert {r.reason: r.n for r in QUERIES["match_summary_all"](spark, DATA).collect()} == Counter(w[3] for w in want.values())

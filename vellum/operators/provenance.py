@@ -12,10 +12,13 @@ PREFIXES, SHORTEST, RUN = (400, 250, 150, 80), 40, 3
 
 
 def word_runs(text: Column, size: int = RUN) -> Column:
-    """Hashes of all runs of size words."""
-    ws = F.split(text, " ")
-    starts = F.sequence(F.lit(0), F.greatest(F.size(ws) - size, F.lit(0)))
-    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(ws, i + 1, size), " "))))
+    """Hashes of all runs of size words. The words are bound to a variable: they would be split again for each run."""
+
+    def runs(ws: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(ws) - size, F.lit(0)))
+        return F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(ws, i + 1, size), " ")))
+
+    return F.array_distinct(F.get(F.transform(F.array(F.split(text, " ")), runs), F.lit(0)))
 
 
 def containing(probes: DataFrame, probe: str, corpus: DataFrame, doc: str, text: str) -> DataFrame:

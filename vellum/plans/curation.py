@@ -18,19 +18,37 @@ r AS (SELECT p.source_row, b.page_id, CAST(b.prefix AS INT) AS prefix, coalesce(
 """
 
 
-def _provenance(spark: SparkSession, directory: str) -> DataFrame:
-    g = table(spark, directory, "golden_dataset", "source_row", "reference_contexts").filter("source_row % 20 = 0").select("source_row", F.get("reference_contexts", F.lit(0)).alias("passage"))
+def _provenance(spark: SparkSession, directory: str, which: str = "true") -> DataFrame:
+    g = table(spark, directory, "golden_dataset", "source_row", "reference_contexts").filter(which).select("source_row", F.get("reference_contexts", F.lit(0)).alias("passage"))
     return provenance(g, "source_row", "passage", table(spark, directory, "document_pages", "page_id", "page_content"), "page_id", "page_content")
 
 
+_TWENTIETH = "source_row % 20 = 0"
+
+
 @REGISTRY.query("provenance_match", _PROV + "SELECT * FROM r")
 def provenance_match(spark: SparkSession, directory: str) -> DataFrame:
+    """Every 20th row, as the SQL compares each with all pages; provenance_match_all has all rows."""
+    return _provenance(spark, directory, _TWENTIETH)
+
+
+@REGISTRY.query("provenance_match_all")
+def provenance_match_all(spark: SparkSession, directory: str) -> DataFrame:
     return _provenance(spark, directory)
 
 
+def _reasons(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 @REGISTRY.query("match_summary", _PROV + "SELECT reason, count(*) AS n FROM r GROUP BY 1")
 def match_summary(spark: SparkSession, directory: str) -> DataFrame:
-    return _provenance(spark, directory).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    return _reasons(_provenance(spark, directory, _TWENTIETH))
+
+
+@REGISTRY.query("match_summary_all")
+def match_summary_all(spark: SparkSession, directory: str) -> DataFrame:
+    return _reasons(_provenance(spark, directory))
 
 
 @REGISTRY.query("provenance_vote", r"""WITH g AS (SELECT source_row, unnest(list_distinct(regexp_extract_all(lower(array_to_string(reference_contexts, ' ')), 'section \d+\.\d+'))) AS s FROM golden_dataset),
