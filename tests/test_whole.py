@@ -1,5 +1,6 @@
 """Queries that take in every row: what the forms under a filter leave out."""
 
+import re
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -60,3 +61,28 @@ def test_provenance_of_all_golden_rows(spark):
     got = {r.source_row: (r.page_id, r.prefix, r.n_docs, r.reason) for r in QUERIES["provenance_match_all"](spark, DATA).collect()}
     assert len(got) == len(golden) and got == want
     assert {r.reason: r.n for r in QUERIES["match_summary_all"](spark, DATA).collect()} == Counter(w[3] for w in want.values())
+
+
+def precision_by_force(reference, contexts):
+    words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    runs = lambda ws, n: {tuple(ws[i : i + n]) for i in range(len(ws) - n + 1)}
+    ws = words(reference)
+    asked = runs(ws, min(3, len(ws))) if ws else set()
+    bits = [bool(asked) and len(asked & runs(words(c), min(3, len(ws)))) >= 0.5 * len(asked) for c in contexts]
+    return round(sum(sum(bits[: i + 1]) / (i + 1) for i, b in enumerate(bits) if b) / sum(bits), 6) if any(bits) else 0.0
+
+
+def test_precision_by_the_whole_reference(spark, tmp_path):
+    reference = "The agreement ends after thirty days of written notice by either party."
+    rest, opening = "... ends after thirty days of WRITTEN notice by either party", "The agreement is governed by the law of Delaware."
+    rows = [(1, reference, [opening, rest]), (2, reference, [opening]), (3, reference, [rest, None]), (4, "Thirty days", ["in thirty days", "thirty business days"]), (5, "--", ["--"]), (6, "a b c", ["x a b c", "a b"])]
+    spark.createDataFrame(rows, "result_id bigint, reference string, retrieved_contexts array<string>").write.parquet(f"{tmp_path}/ragas_eval_results.parquet")
+    got = {r.result_id: r.precision for r in QUERIES["context_precision_all"](spark, str(tmp_path)).collect()}
+    assert got == {1: 0.5, 2: 0.0, 3: 1.0, 4: 1.0, 5: 0.0, 6: 1.0}
+    assert got == {i: precision_by_force(ref, cs) for i, ref, cs in rows}
+
+
+def test_precision_of_all_results(spark):
+    rows = table(spark, DATA, "ragas_eval_results", "result_id", "reference", "retrieved_contexts").filter("reference IS NOT NULL AND size(retrieved_contexts) > 0").collect()
+    got = {r.result_id: r.precision for r in QUERIES["context_precision_all"](spark, DATA).collect()}
+    assert got == {r.result_id: precision_by_force(r.reference, r.retrieved_contexts) for r in rows}

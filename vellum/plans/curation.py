@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import text as tx
-from vellum.operators.provenance import provenance
+from vellum.operators.provenance import RUN, provenance, word_runs
 from vellum.plans import REGISTRY
 from vellum.sources.tables import table
 
@@ -201,9 +201,17 @@ def refusal_scoring(spark: SparkSession, directory: str) -> DataFrame:
 
 @REGISTRY.query("context_precision", "WITH c AS (SELECT result_id, i, CASE WHEN contains(lower(c), lower(substr(reference, 1, 12))) THEN 1 ELSE 0 END AS rel FROM (SELECT result_id, reference, unnest(retrieved_contexts) AS c, generate_subscripts(retrieved_contexts, 1) AS i FROM ragas_eval_results WHERE reference IS NOT NULL)), p AS (SELECT *, avg(rel) OVER (PARTITION BY result_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS p_at FROM c) SELECT result_id, round(coalesce(sum(p_at * rel) / nullif(sum(rel), 0), 0), 6) AS precision FROM p GROUP BY 1")
 def context_precision(spark: SparkSession, directory: str) -> DataFrame:
-    """Rank-weighted mean of relevance bits, inside one array: no shuffle. The bit stands in for a judge's."""
-    r = table(spark, directory, "ragas_eval_results", "result_id", "reference", "retrieved_contexts").filter("reference IS NOT NULL AND size(retrieved_contexts) > 0")
-    bits = F.transform("retrieved_contexts", lambda c: F.coalesce(F.contains(F.lower(c), F.lower(F.substring("reference", 1, 12))).cast("int"), F.lit(0)))
+    """Rank-weighted mean of relevance bits, inside one array: no shuffle. The bit stands in for a judge's and asks for the first
+    twelve characters of the reference only; context_precision_all asks for the whole."""
+    r = _retrieved(spark, directory)
+    return _precision(r, F.transform("retrieved_contexts", lambda c: F.coalesce(F.contains(F.lower(c), F.lower(F.substring("reference", 1, 12))).cast("int"), F.lit(0))))
+
+
+def _retrieved(spark: SparkSession, directory: str) -> DataFrame:
+    return table(spark, directory, "ragas_eval_results", "result_id", "reference", "retrieved_contexts").filter("reference IS NOT NULL AND size(retrieved_contexts) > 0")
+
+
+def _precision(r: DataFrame, bits: F.Column) -> DataFrame:
     r = r.withColumn("bits", bits)
     upto = F.transform("bits", lambda b, i: F.aggregate(F.slice("bits", F.lit(1), i + 1), F.lit(0), lambda a, x: a + x) / (i + 1) * b)
     total = F.aggregate("bits", F.lit(0), lambda a, x: a + x)
@@ -211,6 +219,27 @@ def context_precision(spark: SparkSession, directory: str) -> DataFrame:
     return r.select("result_id", F.round(score, 6).alias("precision"))
 
 
+#: A context is relevant if it holds so large a part of the reference's word runs.
+HELD = 0.5
+
+
+@REGISTRY.query("context_precision_all")
+def context_precision_all(spark: SparkSession, directory: str) -> DataFrame:
+    """As context_precision, with a bit by the whole reference: whether the context holds HELD of its runs of RUN words (of all
+    its words, where they are fewer). The bit stands in for a judge's; a reference without words makes none relevant."""
+    words = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{M}\p{N}]+", " "))
+    r = _retrieved(spark, directory).withColumn("asked", F.when(words(F.col("reference")) != "", words(F.col("reference"))))
+    few = F.size(F.split("asked", " ")) < RUN
+    r = r.withColumn("runs", F.when(~few, word_runs(F.col("asked"))))
+
+    def bit(c: F.Column) -> F.Column:
+        held = F.size(F.array_intersect("runs", word_runs(words(c)))) / F.size("runs")
+        whole = F.contains(F.concat(F.lit(" "), words(c), F.lit(" ")), F.concat(F.lit(" "), "asked", F.lit(" ")))
+        return F.coalesce(F.when(few, whole).otherwise(held >= HELD).cast("int"), F.lit(0))
+
+    return _precision(r, F.transform("retrieved_contexts", bit))
+
+
 _CLAIMS = r"""WITH c AS (SELECT result_id, retrieved_contexts, unnest(regexp_extract_all(response, '[^.!?\n]+[.!?]?')) AS claim FROM ragas_eval_results WHERE response IS NOT NULL),
 k AS (SELECT result_id, trim(lower(claim)) AS claim, bool_or(coalesce(contains(lower(array_to_string(retrieved_contexts, ' ')), trim(lower(claim))), false)) AS ok FROM c WHERE trim(claim) <> '' GROUP BY 1, 2)"""
 
