@@ -94,7 +94,7 @@ def p7_shares(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def _audit(spark: SparkSession, directory: str) -> DataFrame:
-    return truncation.truncated_rows(table(spark, directory, "audit_logs", "id", "action", "detail"), "detail", "action")
+    return truncation.truncated_rows(table(spark, directory, "audit_logs", "id", "action", "detail"), "detail", "action", "id")
 
 
 @REGISTRY.query("p1_found")
