@@ -170,23 +170,50 @@ def test_residue(spark):
 
 
 def test_truncation_holds_out_and_finds_cuts(spark):
-    logs = spark.read.parquet(f"{DATA}/audit_logs.parquet")
-    model = truncation.fit(logs, "detail", "action")
-    assert model.holdout_accuracy > 0.85
+    logs = spark.read.parquet(f"{DATA}/audit_logs.parquet").select("id", "action", "detail")
     texts = ["Which law governs the agreem...", "Who owns the dis�", "limited to &qu", "What fee does Acme rec\\u20", "Which law governs the agreement between Acme Inc. and the Lender?", None, "", "  ", "…"]
-    df = spark.createDataFrame([(i, "ask", t, i) for i, t in enumerate(texts)], "id int, action string, detail string, weights int")
-    p = [r.p_cut for r in model.score(df, "detail", "action").orderBy("id").collect()]
-    assert p[:4] == [1.0] * 4 and p[4] < 0.3 and p[5:] == [0.0] * 4
-    assert model.score(df.limit(0), "detail", "action").count() == 0
+    more = spark.createDataFrame([(-i, "ask", t) for i, t in enumerate(texts, 1)], "id bigint, action string, detail string")
+    both = logs.unionByName(more).withColumns({"vid": F.lit(1), "places": F.lit("x"), "v1": F.lit(2)})
+    model = truncation.fit(both, "detail", "action", "id", measure=True)
+    assert model.holdout["cuts_found"] > 0.9 and model.holdout["whole_kept"] > 0.9
+    out = model.score(both, "detail", "action")
+    assert out.columns == [*both.columns, "p_cut"] and out.count() == both.count()
+    p = {r.id: r.p_cut for r in out.filter("id < 0").collect()}
+    assert all(p[-i] > truncation.THRESHOLD for i in (1, 2, 3, 4)) and p[-5] < truncation.THRESHOLD and [p[-i] for i in (6, 7, 8, 9)] == [0.0] * 4
+
+
+def test_truncation_keeps_stock_phrases_and_finds_planted_cuts(spark):
+    """Recall and precision on values whose truth is known, most of them frequent phrases without a closing mark; the share flagged must not grow."""
+    rng = random.Random(11)
+    things, firms, roles = "delivery warranties insurance notices records assignment confidentiality royalties".split(), "Mira Tolvan Quessel Brandt Oriel Castor Jove Lindqvist".split(), "Seller Buyer Tenant Agent Carrier Lender".split()
+    makers = [
+        lambda: f"show me the section on {rng.choice(things)}", lambda: f"what does the contract say about {rng.choice(things)} and {rng.choice(things)}", lambda: f"who signed the {rng.choice(things)} agreement", lambda: f"liability cap {rng.choice(roles)}",
+        lambda: f"Which law governs the agreement between {rng.choice(firms)} {rng.choice(firms)} Ltd. and the {rng.choice(roles)}?", lambda: f"The {rng.choice(roles)} shall pay {rng.choice(firms)} Inc. a fee of {rng.randrange(999)} dollars for the {rng.choice(things)} within {rng.randrange(90)} days.",
+    ]
+    shares = []
+    for n, recall in ((2000, 0.7), (9000, 0.85)):
+        rows = []
+        for i in range(n):
+            t = rng.choice(makers)()
+            lost = rng.random() < 0.08 and len(t) > 30
+            rows.append((i, "a", t[: rng.randrange(8, len(t) - 4)] if lost else t, lost))
+        whole = {r[2] for r in rows if not r[3]}
+        rows = [(i, g, t, lost and t not in whole) for i, g, t, lost in rows]
+        df = spark.createDataFrame(rows, "id bigint, g string, t string, lost boolean")
+        got = truncation.truncated_rows(df, "t", "g", "id").select("lost", "truncated").toPandas()
+        both = (got.lost & got.truncated).sum()
+        assert both / got.lost.sum() > recall and both / got.truncated.sum() > 0.95
+        shares.append(got.truncated.mean())
+    assert abs(shares[0] - shares[1]) < 0.02
 
 
 def test_truncation_without_examples(spark):
     df = spark.createDataFrame([], "id int, action string, detail string")
     assert truncation.truncated_rows(df, "detail", "action").count() == 0
-    few = spark.createDataFrame([(1, None, "one value"), (2, "a", "cut off…"), (2, "a", "cut off…")], "id int, action string, detail string")
+    few = spark.createDataFrame([(1, None, "one value"), (2, "a", "cut off…"), (2, "a", "cut off…"), (3, "a", "x" * 100000)], "id int, action string, detail string")
     rows = truncation.truncated_rows(few, "detail", "action")
-    assert {(r.id, r.truncated) for r in rows.collect()} == {(1, False), (2, True)}
-    assert {(r.action, r.records, r.truncated) for r in truncation.truncation_by_group(rows, "id", "action").collect()} == {(None, 1, 0), ("a", 1, 1)}
+    assert {(r.id, r.truncated) for r in rows.collect()} == {(1, False), (2, True), (3, False)}
+    assert {(r.action, r.records, r.truncated) for r in truncation.truncation_by_group(rows.filter("id < 3"), "id", "action").collect()} == {(None, 1, 0), ("a", 1, 1)}
 
 
 # pairs
@@ -205,6 +232,22 @@ def test_common_subsequence_against_brute_force(spark):
     rows = [([random.choice("abc") for _ in range(random.randrange(9))], [random.choice("abc") for _ in range(random.randrange(9))]) for _ in range(80)]
     df = spark.createDataFrame(rows, "a array<string>, b array<string>").select("a", "b", pairs.common_subsequence(F.col("a"), F.col("b")).alias("n"))
     assert all(r.n == brute_lcs(r.a, r.b) for r in df.collect())
+    long = [([random.choice("abcd") for _ in range(random.randrange(50, 200))], [random.choice("abcd") for _ in range(random.randrange(50, 200))]) for _ in range(20)]
+    df = spark.createDataFrame([*long, (["a"] * 60, ["a"] * 60), (["a"] * 61, ["a"] * 121)], "a array<string>, b array<string>").select("a", "b", pairs.common_subsequence(F.col("a"), F.col("b")).alias("n"))
+    assert all(r.n == brute_lcs(r.a, r.b) for r in df.collect())
+    words = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(3000)), lambda i: i.cast("string")).alias("a"))
+    assert words.select(pairs.common_subsequence(F.col("a"), F.reverse("a")).alias("x"), pairs.common_subsequence(F.col("a"), F.col("a")).alias("y")).first() == (1, 3000)
+
+
+def test_other_language(spark):
+    qa = {"en": ("Which law governs the agreement with the Seller?", "The agreement is governed by the law of Norway, and disputes go to the court of the Seller."), "de": ("Welche Frist gilt für den Käufer, wenn die Zahlung ausbleibt?", "Der Käufer muss innerhalb von zehn Tagen nach der Mitteilung handeln, wenn nicht anders vereinbart ist."), "fr": ("Que peut faire le vendeur si le paiement reste en retard ?", "Il peut suspendre les livraisons, à condition de prévenir par écrit dans les dix jours."), "es": ("¿Qué puede hacer el vendedor si el pago sigue pendiente?", "Podrá suspender las entregas, siempre que lo comunique antes por escrito."), "it": ("Entro quale termine il fornitore deve comunicare ogni cambio?", "Il fornitore deve comunicare ogni cambio entro dieci giorni dopo la consegna della merce.")}
+    langs = list(qa)
+    rows = [(i, qa[lang][0], qa[lang][1], False) for i, lang in enumerate(langs * 30)]
+    rows += [(1000 + i, qa[a][0], qa[b][1], True) for i, (a, b) in enumerate((a, b) for a in langs for b in langs if a != b)]
+    rows += [(2000, qa["de"][0], "Norway Shipping Inc.", False), (2001, qa["de"][0], "EUR 88,000", False), (2002, None, qa["fr"][1], False), (2003, qa["fr"][0], None, False), (2004, "1 2 3", qa["fr"][1], False), (2005, qa["en"][0], qa["de"][1].upper(), True)]
+    df = spark.createDataFrame(rows, "id bigint, q string, a string, other boolean")
+    got = {r.id for r in pairs.defects(df, "q", "a", F.lit(False)).filter("defect = 'other_language'").collect()}
+    assert got == {r[0] for r in rows if r[3]}
 
 
 def test_copies_and_refusals(spark):
@@ -213,7 +256,8 @@ def test_copies_and_refusals(spark):
     df = spark.createDataFrame([(q, a) for a in cases], "q string, a string").select("a", pairs.is_copy(F.col("q"), F.col("a")).alias("x"))
     assert {r.a: r.x for r in df.collect()} == cases
     yes = ["I cannot help with this request.", "Sorry – no answer can be given here.", "As an assistant for contracts, I must decline to answer.", "Leider liegt mir dazu keine Angabe vor, daher muss ich passen.", "Por desgracia, no puedo responder a esta pregunta.", "Désolé, aucune réponse ne peut être donnée ici.", "Purtroppo non posso rispondere a questa domanda."]
-    no = ["No", "No, an assignment is valid only with the prior written consent of Acme.", "The other party cannot refuse on that ground.", "The Seller may decline the offer."]
+    yes += ["Thank you. You ask about the lease of 2012. I looked it up. Sadly I am not able to answer that question.", "It is not possible for me to answer this."]
+    no = ["No", None, "", "No assignment can be given without consent.", "The Seller is not able to assign it. " + "Title stays with the Seller until the price is paid in full. " * 20 + "I can not answer this question further.", "No, an assignment is valid only with the prior written consent of Acme.", "The other party cannot refuse on that ground.", "The Seller may decline the offer."]
     df = spark.createDataFrame([(a,) for a in yes + no], "a string").select("a", pairs.is_refusal(F.col("a")).alias("x"))
     assert {r.a for r in df.collect() if r.x} == set(yes)
 

@@ -115,7 +115,7 @@ def _pairs(spark: SparkSession, directory: str) -> DataFrame:
         F.lit("ragas_eval_results").alias("table_name"), F.col("result_id").alias("row_id"), F.col("user_input").alias("prompt"), "response", F.col("golden_intent").alias("intent")
     )
     both = golden.unionByName(results)
-    return pairs.defects(both, "prompt", "response", pairs.labelled_intent(F.col("intent")) == "guardrail")
+    return pairs.defects(both, "prompt", "response", pairs.labelled_intent(F.col("intent")) == "guardrail", "table_name")
 
 
 @REGISTRY.query("p5_found")

@@ -3,10 +3,10 @@
 Intact values are cut artificially to make positives; a hashed logistic regression over closing characters, punctuation, the
 distance to a length limit and how often texts go on or end after such words then scores every different value once.
 
-What goes on and what ends is counted over all values, not over a sample: for every word of every value, under its last one, two and three
-words, under its last four and six words with names masked, and from the sentence's start, how often a text goes on after it and how
-often a sentence or text ends there. The counts are combined on the map side, kept by the hash of their key, and joined to the ends
-that ask for them; a value's own share is taken off again (and a cut's, from the value it was cut from). All of these enter as
+What goes on and what ends is counted over all records, not over a sample: for every word, under it and the one and two words
+before it, under the last four and six words with names masked, and from the sentence's start, how often a text goes on there and how
+often a sentence or text ends. Phrases that come back whole so tell themselves from cuts that come back. The counts are combined on the map side, kept by the hash of their key, and joined to the ends
+that ask for them; a record's own share is taken off again (and a cut's, from the record it was cut from). All of these enter as
 proportions in classes, so the share of records flagged does not depend on the amount of data.
 
 Only the fit is bounded: it uses SAMPLE values, spread over groups by hash. Values as long as a limit of their group and without
@@ -37,13 +37,13 @@ CUTS = 5
 WIDTH = 1 << 15
 #: Weight of an artificial cut against a whole value: cut records are rarer than whole ones.
 PRIOR = 0.4
-#: Share of a value's records that an artificial cut of it counts as met by, at most.
-CUT_AGAIN = 0.2
+#: A value weighs in the fit as often as it comes, up to this.
+MOST = 50
 #: How many times more values than at the lengths beside it make a length a limit.
 LIMIT_EXCESS = 5
 #: Beginnings of words are counted up to this length.
 STEM = 32
-THRESHOLD = 0.25
+THRESHOLD = 0.3
 FEWEST = 20
 
 _BOUNDARY = r"(?<!\b(?:Inc|Corp|Ltd|S\.A|B\.V|S\.r\.l|Nr|No|Art|vgl|bzw|z\.B|Mr|Dr|EX-\d\d|EX-\d))(?<=[.!?…])[\"”»)]*\s+|\n+"
@@ -59,8 +59,8 @@ _SEEN = 8  # words a key looks back over
 
 
 def _bare(text: Column) -> Column:
-    """text up to its last letter or digit, without a stand-in for the rest; runs of digits become 0."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, _ELLIPSIS, ""), r"[^\p{L}\p{M}\p{N}]+$", ""), r"\p{N}+", "0")
+    """text without closing marks and without a stand-in for the rest; a comma or an opening mark stays. Runs of digits become 0."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, _ELLIPSIS, ""), r"[\s\p{Z}.!?。？！\"”’»)\]]+$", ""), r"\p{N}+", "0")
 
 
 def _words(sentence: Column) -> Column:
@@ -77,20 +77,22 @@ def _keys(window: list[Column]) -> dict[str, Column]:
 
 def _places(values: DataFrame) -> DataFrame:
     """key, goes, ends: a row for each place and kind of key of the values' sentences; ends: 1 where a sentence or text ends."""
-    s = values.select(F.explode(F.split("t", _BOUNDARY)).alias("s")).filter(F.col("s").rlike(_SAYS))
-    s = s.select(F.concat(F.array(*[F.lit("^")] * (_SEEN - 1)), _words(_bare(F.col("s")))).alias("a"))
+    s = values.select((F.col("times") + 1).alias("rows"), F.explode(F.split("t", _BOUNDARY)).alias("s")).filter(F.col("s").rlike(_SAYS))
+    s = s.select("rows", F.concat(F.array(*[F.lit("^")] * (_SEEN - 1)), _words(_bare(F.col("s")))).alias("a"))
     n = F.size("a") - (_SEEN - 1)
     shifted = [F.slice("a", F.lit(_SEEN - k), n).alias(f"a{k}") for k in range(_SEEN)]
     last = F.concat(F.array_repeat(F.lit(0), n - 1), F.array(F.lit(1))).alias("last")
-    p = s.select(F.explode(F.arrays_zip(*shifted, last)).alias("z")).filter(F.col("z.a0").rlike("^[\\p{L}\\p{M}0]"))
+    p = s.select("rows", F.explode(F.arrays_zip(*shifted, last)).alias("z"))
     keys = _keys([F.col(f"z.a{k}") for k in range(_SEEN)])
-    p = p.select(F.explode(F.array(*keys.values())).alias("key"), F.col("z.last").alias("last")).filter("key IS NOT NULL")
-    return p.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("last").alias("ends")).filter("n > 1")
+    weighed = [F.struct(v.alias("key"), F.col("rows").alias("n")) for k, v in keys.items()]
+    p = p.select(F.explode(F.array(*weighed)).alias("k"), F.col("z.last").alias("last")).filter("k.key IS NOT NULL")
+    return p.groupBy("k.key").agg(F.sum("k.n").alias("n"), F.sum(F.col("k.n") * F.col("last")).alias("ends")).filter("n > 1")
 
 
 def _stems(values: DataFrame) -> DataFrame:
     """key, n: in how many places a longer word begins with the stem; ends: in how many the stem is the word."""
-    words = values.select(F.explode(_words(F.regexp_replace(F.lower("t"), r"\p{N}+", "0"))).alias("w")).filter(F.col("w").rlike(r"^\p{L}")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    words = values.select((F.col("times") + 1).alias("rows"), F.explode(_words(F.regexp_replace(F.lower("t"), r"\p{N}+", "0"))).alias("w")).filter(F.col("w").rlike(r"^\p{L}"))
+    words = words.groupBy("w").agg(F.sum("rows").alias("n"))
     lengths = F.sequence(F.lit(1), F.least(F.length("w"), F.lit(STEM)))
     stems = words.select("w", "n", F.explode(lengths).alias("k"))
     stems = stems.groupBy(F.xxhash64(F.lit("stem"), F.left("w", F.col("k"))).alias("key")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("k") == F.length("w"), F.col("n")).otherwise(0)).alias("ends"))
@@ -136,7 +138,7 @@ def _class(n: Column, most: int = 5) -> Column:
 
 
 def _features(e: DataFrame) -> DataFrame:
-    """e with places (array<int>): e has t, g, times (how many other records have this value) and a struct a kind with n and ends."""
+    """e with places (array<int>): e has t, g and a struct a kind with n and ends."""
     t = F.regexp_replace("t", r"[\s\p{Z}]+$", "")
     e = e.withColumns(
         {
@@ -153,14 +155,14 @@ def _features(e: DataFrame) -> DataFrame:
     e = e.select("*", *[v.alias("s_" + k) for k, v in s.items()], *[_class(F.col(k)["n"]).alias("n_" + k) for k in KINDS[:7]])
     limit = F.when(_is_limit(F.col("len")["ends"], F.col("len")["n"]), "y").otherwise("n")
     stem = F.when(F.col("stem")["n"] <= 0, "-").when(F.col("stem")["ends"] <= 0, "0").otherwise(_share(F.col("stem")))
-    e = e.withColumns({"limit": limit, "s_stem": stem, "often": _class(F.col("times"), 6), "marked": F.when(F.col("closing").rlike(r"[.!?]"), "y").when(F.col("closing") == "", "n").otherwise("o")})
+    e = e.withColumns({"limit": limit, "s_stem": stem, "marked": F.when(F.col("closing").rlike(r"[.!?]"), "y").when(F.col("closing") == "", "n").otherwise("o")})
     c = lambda tag, *cols: F.concat_ws("|", F.lit(tag), *cols)
     kinds = KINDS[:6]
     lists = [c(k, "s_" + k, "n_" + k) for k in kinds] + [c("c" + k, "s_" + k, "closing") for k in kinds] + [c("g" + k, "s_" + k, "g", "marked") for k in kinds]
     lists += [
         c("46", "s_m4", "s_m6", "marked"), c("12", "s_w1", "s_w2", "marked"), c("23", "s_w2", "s_w3", "marked"), c("26", "s_w2", "s_m6", "marked"), c("34", "s_w3", "s_m4", "marked"), c("s6", "s_start", "s_m6", "marked"),
         c("e", "s_stem", "n_stem", "shape"), c("e1", "s_stem", "s_w1", "n_w1", "marked"), c("e2", "s_stem", "s_w2", "marked"), c("em", "s_stem", "s_m4", "shape", "marked"), c("ec", "s_stem", "closing"),
-        c("v", "often", "s_start", "marked"), c("v3", "often", "s_w3", "marked"), c("v6", "often", "s_m6", "marked"), c("gc", "g", "closing", "shape"), c("k", "closing", "shape", "n_w1"), c("u", "unpaired", "marked"), c("u1", "unpaired", "s_w2"),
+        c("gc", "g", "closing", "shape"), c("k", "closing", "shape", "n_w1"), c("u", "unpaired", "marked"), c("u1", "unpaired", "s_w2"),
         c("l", "limit", "closing"), c("l2", "limit", "s_w2", "marked"), c("l6", "limit", "s_m6", "marked"), c("gl", "g", "low"), c("lo", "low", "marked"), c("b", "blank", "s_w2", "marked"), c("b6", "blank", "s_m6", "marked"), c("cl", "closing"), c("bias"),
     ]
     return e.withColumn("places", F.array(*[F.pmod(F.xxhash64(x), F.lit(WIDTH)).cast("int") for x in lists]))
@@ -180,7 +182,7 @@ def _fit_weights(places: np.ndarray, label: np.ndarray, mass: np.ndarray, start:
 
 
 def _cuts(picked: DataFrame) -> DataFrame:
-    """t, g, times, kind (0 whole, 1 cut, 2 whole without its mark), own (what the value itself adds to the counts there: n, ends, stem)."""
+    """t, g, kind (0 whole, 1 cut, 2 whole without its mark), own (what its own record adds to the counts there: n and ends), mass (in the fit)."""
     t, size = F.col("t"), F.length("t")
     place = lambda j: F.pmod(F.xxhash64(F.lit(j), "t"), F.greatest(size - 1, F.lit(1))) + 1
     near = F.greatest(size - 1 - F.pmod(F.xxhash64(F.lit("end"), "t"), F.lit(4)), F.lit(1))
@@ -191,18 +193,18 @@ def _cuts(picked: DataFrame) -> DataFrame:
     for j in range(CUTS):
         at, whole = (near.cast("int"), t) if j == 0 else (limit.cast("int"), long) if j == 1 else (place(j).cast("int"), t)
         head, rest = F.left(whole, at), F.substring(whole, at + 1, F.lit(9))
-        fair = head.rlike(_SAYS) & (rest.rlike(_SAYS) if j != 1 else F.lit(True)) & ~head.rlike(_CLOSED)
+        # a cut within a number leaves a number, which nothing tells from a whole one
+        fair = head.rlike(_SAYS) & ~(head.rlike(r"\p{N}$") & rest.rlike(r"^\p{N}")) & (rest.rlike(_SAYS) if j != 1 else F.lit(True)) & ~head.rlike(_CLOSED)
         mid = head.rlike(r"[\p{L}\p{M}\p{N}]$") & rest.rlike(r"^[\p{L}\p{M}\p{N}]")
         stand_in = F.get(F.array(*map(F.lit, STAND_INS)), F.pmod(F.xxhash64(F.lit("in"), "t"), F.lit(len(STAND_INS))).cast("int")) if j == CUTS - 1 else F.lit("")
         one = F.when(mid, 0).otherwise(1)
-        rows.append(F.when(fair, F.struct(F.concat(head, stand_in).alias("t"), F.lit(1).alias("kind"), one.alias("n"), F.lit(0).alias("ends"), F.lit(1).alias("stem"))))
-    rows.append(F.struct(t.alias("t"), F.lit(0).alias("kind"), F.lit(1).alias("n"), F.lit(1).alias("ends"), F.lit(1).alias("stem")))
+        rows.append(F.when(fair, F.struct(F.concat(head, stand_in).alias("t"), F.lit(1).alias("kind"), one.alias("n"), F.lit(0).alias("ends"))))
+    rows.append(F.struct(t.alias("t"), F.lit(0).alias("kind"), F.lit(1).alias("n"), F.lit(1).alias("ends")))
     bare = F.regexp_replace(t, r"[\s.!?]+$", "")
-    rows.append(F.when(t.rlike(_CLOSED) & bare.rlike(_SAYS), F.struct(bare.alias("t"), F.lit(2).alias("kind"), F.lit(1).alias("n"), F.lit(1).alias("ends"), F.lit(1).alias("stem"))))
-    # whoever cuts a frequent value cuts it more than once: a cut counts as met by up to a fifth of the value's records
-    again = F.floor(F.col("times") * CUT_AGAIN * F.pmod(F.xxhash64("e.t"), F.lit(1000)) / 1000).cast("bigint")
+    rows.append(F.when(t.rlike(_CLOSED) & bare.rlike(_SAYS), F.struct(bare.alias("t"), F.lit(2).alias("kind"), F.lit(1).alias("n"), F.lit(1).alias("ends"))))
     rows = picked.select("g", "times", F.explode(F.array_compact(F.array(*rows))).alias("e"))
-    return rows.select("g", F.when(F.col("e.kind") == 1, again).otherwise(F.col("times")).alias("times"), "e.*")
+    mass = F.least(F.col("times") + 1, F.lit(MOST)) * F.when(F.col("e.kind") == 1, PRIOR).otherwise(1.0)
+    return rows.select("g", mass.alias("mass"), "e.*")
 
 
 def _sample(values: DataFrame, size: int) -> DataFrame:
@@ -256,9 +258,9 @@ def fit(df: DataFrame, text: str, group: str | None = None, id: str | None = Non
     picked = _sample(values.filter(~F.col("t").rlike(_ELLIPSIS)), sample).join(limits, "g", "left")
     at_limit = F.coalesce(F.array_contains("limits", F.length("t")), F.lit(False))
     made = _cuts(picked.filter(~at_limit | F.col("t").rlike(_CLOSED)))
-    made = made.select("g", "t", "times", "kind", F.struct("n", "ends", "stem").alias("own"), (-1 - F.monotonically_increasing_id()).alias("vid"))
-    own = F.struct(F.lit(1).alias("n"), F.lit(1).alias("ends"), F.lit(1).alias("stem"))
-    examples = cut(values.select("g", "t", "times", F.lit(-1).alias("kind"), own.alias("own"), "vid").unionByName(made))
+    made = made.select("g", "t", "kind", "mass", F.struct("n", "ends").alias("own"), (-1 - F.monotonically_increasing_id()).alias("vid"))
+    own = F.struct(F.lit(1).alias("n"), F.lit(1).alias("ends"))
+    examples = cut(values.select("g", "t", F.lit(-1).alias("kind"), F.lit(0.0).alias("mass"), own.alias("own"), "vid").unionByName(made))
 
     asked = examples.select("vid", F.posexplode(_asked(F.col("t"), F.col("g"))).alias("at", "key")).filter("key IS NOT NULL")
     found = asked.join(counts, "key").groupBy("vid").agg(*[F.max(F.when(F.col("at") == i, F.struct("n", "ends"))).alias(k) for i, k in enumerate(KINDS)])
@@ -266,15 +268,15 @@ def fit(df: DataFrame, text: str, group: str | None = None, id: str | None = Non
     zero = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("ends"))
     less = lambda k: F.when(F.col(k).isNull(), zero).otherwise(F.struct((F.col(k)["n"] - F.col("own")["n"]).alias("n"), (F.col(k)["ends"] - F.col("own")["ends"]).alias("ends")))
     seen = seen.withColumns({k: less(k) for k in KINDS[:6]} | {"stem": F.when(F.col("stem").isNull(), zero).otherwise(F.struct((F.col("stem")["n"] - 1).alias("n"), F.greatest(F.col("stem")["ends"] - F.col("own")["n"], F.lit(0)).alias("ends"))), "len": F.coalesce("len", zero)})
-    placed = _features(seen).select("vid", "kind", "places", *_identity(F.col("t"), F.col("g")), F.pmod(F.xxhash64("t"), F.lit(10)).alias("fold"))
-    placed = cut(placed.toDF("vid", "kind", "places", "v1", "v2", "fold"))
+    placed = _features(seen).select("vid", "kind", "mass", "places", *_identity(F.col("t"), F.col("g")), F.pmod(F.xxhash64("t"), F.lit(10)).alias("fold"))
+    placed = cut(placed.toDF("vid", "kind", "mass", "places", "v1", "v2", "fold"))
 
-    pdf = placed.filter("kind >= 0").select("kind", "places", "fold").toPandas()  # SAMPLE * (CUTS + 2) rows of numbers
+    pdf = placed.filter("kind >= 0").select("kind", "mass", "places", "fold").toPandas()  # SAMPLE * (CUTS + 2) rows of numbers
     start, holdout = _start(spark), None
     w = start
     if (pdf.kind == 0).sum() >= FEWEST and (pdf.kind == 1).any():
         places, y = np.stack(pdf.places.to_numpy()).astype(np.int32), (pdf.kind == 1).to_numpy(float)
-        mass = np.where(y > 0, PRIOR, 1.0)
+        mass = pdf.mass.to_numpy(float)
         if measure:
             train = (pdf.fold != 0).to_numpy()
             p = 1 / (1 + np.exp(-_fit_weights(places[train], y[train], mass[train], start)[places[~train]].sum(axis=1)))
