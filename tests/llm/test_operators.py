@@ -36,6 +36,19 @@ def test_conversations_kept_and_dropped(spark):
     assert dropped(spark, [(None, S, "user", "q", None), (None, S, "user", "q", None), ("b", S, "assistant", "a" * 100000, T[1])]) == set()
 
 
+def test_contents_stay_with_their_row(spark):
+    rows = [(None, S, "user", "question", T[0]), ("2", S, "bot", "answer", T[1]), ("2", S, "bot", "changed later", T[2])]
+    m = spark.createDataFrame(rows, "id string, session_id string, role string, content string, created_at timestamp")
+    assert [(r.place, r.id, r.content) for r in conv.ordered_conversations(m).orderBy("place").collect()] == [(0, None, "question"), (1, "2", "answer")]
+
+
+def test_paths_after_unusable_messages_are_orphans(spark):
+    rows = [("1", S, "user", "q", T[0]), ("2", S, "ai", "(no content)", T[1]), ("3", S, "user", "q", T[2]), ("4", S, "ai", "a", T[3]), ("5", S, "?", "a", T[4])]
+    m = spark.createDataFrame(rows, "id string, session_id string, role string, content string, created_at timestamp")
+    assert {(r.state, r.messages, r.sessions) for r in conv.path_report(m).collect()} == {("ok", 1, 1), ("unusable", 2, 1), ("orphan", 2, 1)}
+    assert dropped(spark, rows) == {S} and conv.path_report(m.limit(0)).count() == 0
+
+
 def test_pointer_jumping_against_walking(spark):
     random.seed(5)
     parent = {i: random.choice([None, i - 1, random.randrange(i)]) if i else None for i in range(400)}

@@ -24,8 +24,9 @@ USERS = ("user", "human", "customer", "client", "person", "enduser", "prompter",
 ASSISTANTS = ("assistant", "ai", "bot", "model", "chatbot", "gpt", "llm", "agent", "aiassistant", "machine")
 SYSTEM = ("system", "sys", "developer", "notice", "tool")
 
-#: Contents that stand in for a missing value, in lower case without spaces.
-STAND_INS = ("n/a", "na", "none", "null", "nil", "nan", "[]", "{}", "()", '""', "''", "-", "--", "---", "–", "—", "<empty>", "<null>", "<none>", "undefined", "empty", "(empty)", "[empty]", "missing", "#n/a", "?", ".", "...", "…", "n.a.", "<na>", "nat", "tbd")
+#: Contents that stand in for a missing value, in lower case without spaces and without brackets, quotes and # around them. Fixed values.
+STAND_INS = ("", "-", "--", "---", "–", "—", "?", ".", "...", "…", "n/a", "na", "n.a.", "n.a", "none", "null", "nil", "nan", "nat", "undefined", "empty", "missing", "blank", "nocontent", "nodata", "novalue", "notavailable", "notapplicable", "tbd", "keininhalt", "sanscontenu", "sincontenido", "nessuncontenuto")
+_WRAPPED = r"^[<(\[{\"'#]+|[>)\]}\"']+$"
 
 #: More rounds than any path needs: 2**62 messages.
 MAX_ROUNDS = 62
@@ -40,7 +41,7 @@ def speaker(role: Column) -> Column:
 def says_nothing(content: Column) -> Column:
     """Null, blank, invisible, or only a stand-in for a missing value."""
     bare = F.lower(F.regexp_replace(content, r"[\s\p{Z}\p{Cc}\p{Cf}]", ""))
-    return content.isNull() | (bare == "") | bare.isin(*STAND_INS)
+    return content.isNull() | F.regexp_replace(bare, _WRAPPED, "").isin(*STAND_INS)
 
 
 def session_key(session: Column) -> Column:
@@ -84,39 +85,42 @@ def resolve_paths(nodes: DataFrame, node: str = "node", parent: str = "parent")
     return state.select("node", F.col("ptr").alias("root"), "depth", F.coalesce("state", F.lit("ok")).alias("state"))
 
 
-def linked_messages(messages: DataFrame) -> DataFrame:
-    """One row a message of a session: session_id, id, speaker, empty, created_at, node and parent (null: the first).
+def linked_messages(messages: DataFrame, content: bool = False) -> DataFrame:
+    """One row a message of a session: session_id, id, speaker, empty, created_at, node and parent (null: the first), and content if asked for.
 
     System notices are left out of the links; their rows have a null node.
     """
     m = messages.filter(~is_blank(F.col("session_id"))).select(
-        session_key(F.col("session_id")).alias("session_id"), "id", speaker(F.col("role")).alias("speaker"), says_nothing(F.col("content")).alias("empty"), "created_at", F.xxhash64("content").alias("text")
+        session_key(F.col("session_id")).alias("session_id"), "id", speaker(F.col("role")).alias("speaker"), says_nothing(F.col("content")).alias("empty"), "created_at", F.xxhash64("content").alias("text"), *(["content"] if content else [])
     )
     key = F.coalesce(F.col("id"), F.concat_ws("|", F.lit("null"), "session_id", F.col("created_at").cast("string"), "speaker", F.col("text").cast("string")))
-    m = m.groupBy(key.alias("key")).agg(F.min(F.struct("session_id", "created_at", "speaker", "text", "empty", "id")).alias("m")).select("key", "m.*")
+    m = m.groupBy(key.alias("key")).agg(F.min(F.struct("session_id", "created_at", "speaker", "text", "empty", "id", *(["content"] if content else []))).alias("m")).select("key", "m.*")
     rank = F.when(F.col("speaker") == "user", 0).otherwise(1)
     m = m.withColumn("rank", rank).repartitionByRange("session_id", "created_at", "rank", "key").sortWithinPartitions("session_id", "created_at", "rank", "key")
-    m = cut(m.select("session_id", "id", "speaker", "empty", "created_at", F.monotonically_increasing_id().alias("node")))
+    shown = ["session_id", "id", "speaker", "empty", "created_at", *(["content"] if content else [])]
+    m = cut(m.select(*shown, F.monotonically_increasing_id().alias("node")))
     spoken = m.filter(F.coalesce(F.col("speaker"), F.lit("")) != "system").withColumn("part", F.shiftright("node", 33))
     w = Window.partitionBy("session_id", "part").orderBy("node")
     ends = spoken.groupBy("session_id", "part").agg(F.max("node").alias("last"))
     before = ends.select("session_id", "part", F.lag("last").over(Window.partitionBy("session_id").orderBy("part")).alias("before"))
     links = spoken.withColumn("prior", F.lag("node").over(w)).join(before, ["session_id", "part"])
-    links = links.select("session_id", "id", "speaker", "empty", "created_at", "node", F.coalesce("prior", "before").alias("parent"))
-    notices = m.filter("speaker = 'system'").select("session_id", "id", "speaker", "empty", "created_at", F.lit(None).cast("bigint").alias("node"), F.lit(None).cast("bigint").alias("parent"))
+    links = links.select(*shown, "node", F.coalesce("prior", "before").alias("parent"))
+    notices = m.filter("speaker = 'system'").select(*shown, F.lit(None).cast("bigint").alias("node"), F.lit(None).cast("bigint").alias("parent"))
     return links.unionByName(notices)
 
 
-def conversations(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(ordered, sessions): each message with its place (from 0), and each session with its turns and whether it is broken.
+def conversations(messages: DataFrame, content: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(ordered, sessions): each message with its place (from 0) and state, and each session with its turns and whether it is broken.
 
-    sound: the speakers alternate from user to assistant, nothing is empty or unreadable and the last message is a reply.
+    Only messages that say something and whose role can be read are nodes; those after another message are orphans, as is all that follows.
+    sound: no orphan, the speakers alternate from user to assistant and the last message is a reply.
     """
-    links = cut(linked_messages(messages))
-    paths = resolve_paths(links.filter("node IS NOT NULL"))
+    links = cut(linked_messages(messages, content))
+    usable = F.col("node").isNotNull() & ~F.col("empty") & F.col("speaker").isNotNull()
+    paths = resolve_paths(links.filter(usable))
     placed = links.join(paths, "node", "left").withColumn("place", F.col("depth"))
     due = F.when(F.col("place") % 2 == 0, "user").otherwise("assistant")
-    wrong = F.col("node").isNotNull() & (F.col("empty") | F.col("speaker").isNull() | (F.col("speaker") != due) | (F.col("state") != "ok"))
+    wrong = F.col("node").isNotNull() & (F.col("state").isNull() | (F.col("state") != "ok") | (F.col("speaker") != due))
     sessions = placed.groupBy("session_id").agg(F.count("node").alias("n_messages"), F.bool_or(wrong).alias("wrong"))
     sessions = sessions.select("session_id", "n_messages", (F.col("wrong") | (F.col("n_messages") == 0) | (F.col("n_messages") % 2 == 1)).alias("broken"))
     return placed, sessions
@@ -129,7 +133,14 @@ def broken_sessions(messages: DataFrame) -> DataFrame:
 
 def ordered_conversations(messages: DataFrame) -> DataFrame:
     """session_id, place (from 0), speaker, id and content of the sound conversations, as rows."""
-    placed, sessions = conversations(messages)
-    kept = placed.filter("node IS NOT NULL").join(sessions.filter("NOT broken").select("session_id"), "session_id").select("session_id", "place", "speaker", "id")
-    texts = messages.filter(F.col("id").isNotNull()).groupBy("id").agg(F.max("content").alias("content"))
-    return kept.join(texts, "id", "left").select("session_id", "place", "speaker", "id", "content")
+    placed, sessions = conversations(messages, content=True)
+    kept = placed.filter("node IS NOT NULL").join(sessions.filter("NOT broken").select("session_id"), "session_id")
+    return kept.select("session_id", "place", "speaker", "id", "content")
+
+
+def path_report(messages: DataFrame) -> DataFrame:
+    """Per state of the messages' paths (ok, orphan, cycle, unusable): messages, sessions, and the deepest place."""
+    placed, _ = conversations(messages)
+    state = F.coalesce("state", F.lit("unusable"))
+    once = placed.filter("node IS NOT NULL").groupBy(state.alias("state"), "session_id").agg(F.count(F.lit(1)).alias("n"), F.max("place").alias("deepest"))
+    return once.groupBy("state").agg(F.sum("n").alias("messages"), F.count(F.lit(1)).alias("sessions"), F.max("deepest").alias("deepest"))

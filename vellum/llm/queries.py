@@ -13,13 +13,14 @@ from vellum.sources.tables import table
 
 REGISTRY = Registry()
 
+_SAID = "', '".join(conv.STAND_INS)
 _P2 = r"""
 WITH m AS (
   SELECT lower(regexp_replace(session_id, '[\s\p{Z}{}\-]', '', 'g')) AS k, id, created_at,
     CASE WHEN regexp_replace(lower(role), '[^\p{L}]', '', 'g') IN ('user', 'human') THEN 'user'
          WHEN regexp_replace(lower(role), '[^\p{L}]', '', 'g') IN ('assistant', 'ai', 'bot') THEN 'assistant'
          WHEN regexp_replace(lower(role), '[^\p{L}]', '', 'g') = 'system' THEN 'system' ELSE '?' END AS who,
-    lower(regexp_replace(coalesce(content, ''), '[\s\p{Z}\p{Cc}\p{Cf}]', '', 'g')) IN ('', 'n/a', 'none', 'null', 'nan', '[]', '-', '<empty>', 'undefined') AS nothing, content
+    regexp_replace(lower(regexp_replace(coalesce(content, ''), '[\s\p{Z}\p{Cc}\p{Cf}]', '', 'g')), '^[<(\[{"''#]+|[>)\]}"'']+$', '', 'g') IN ('$SAID') AS nothing, content
   FROM chat_messages WHERE regexp_replace(session_id, '[\s\p{Z}\x{200B}\x{FEFF}]', '', 'g') <> ''),
 once AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY id ORDER BY k, created_at) = 1),
 placed AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY created_at, CASE WHEN who = 'user' THEN 0 ELSE 1 END, id) - 1 AS place FROM once WHERE who <> 'system'),
@@ -27,7 +28,7 @@ sessions AS (
   SELECT o.k, count(p.id) AS n, bool_or(p.nothing OR p.who <> CASE WHEN p.place % 2 = 0 THEN 'user' ELSE 'assistant' END) AS wrong
   FROM (SELECT DISTINCT k FROM once) o LEFT JOIN placed p ON p.k = o.k GROUP BY o.k),
 named AS (SELECT *, substr(k, 1, 8) || '-' || substr(k, 9, 4) || '-' || substr(k, 13, 4) || '-' || substr(k, 17, 4) || '-' || substr(k, 21, 12) AS session_id, coalesce(wrong, false) OR n = 0 OR n % 2 = 1 AS broken FROM sessions)
-"""
+""".replace("$SAID", _SAID)
 
 
 @REGISTRY.query("p2_found", _P2 + "SELECT session_id FROM named WHERE broken")
@@ -40,6 +41,18 @@ def p2_conversations(spark: SparkSession, directory: str) -> DataFrame:
     return conv.ordered_conversations(table(spark, directory, "chat_messages"))
 
 
+@REGISTRY.query(
+    "p2_paths",
+    _P2 + """, unfit AS (SELECT *, nothing OR who = '?' AS bad, min(CASE WHEN nothing OR who = '?' THEN place END) OVER (PARTITION BY k) AS first_bad FROM placed),
+    stated AS (SELECT k, CASE WHEN bad THEN 'unusable' WHEN place > first_bad THEN 'orphan' ELSE 'ok' END AS state, place,
+      CASE WHEN NOT bad THEN place - coalesce(max(CASE WHEN bad THEN place END) OVER (PARTITION BY k ORDER BY place), 0) END AS deep FROM unfit)
+    SELECT state, CAST(sum(n) AS BIGINT) AS messages, count(*) AS sessions, CAST(max(deepest) AS BIGINT) AS deepest FROM (SELECT state, k, count(*) AS n, max(deep) AS deepest FROM stated GROUP BY 1, 2) GROUP BY 1""",
+)
+def p2_paths(spark: SparkSession, directory: str) -> DataFrame:
+    """How the paths of messages end."""
+    return conv.path_report(table(spark, directory, "chat_messages"))
+
+
 _P4 = r"""
 WITH raw AS (SELECT page_id, source_file, page, unnest(string_split(page_content, chr(10))) AS line, generate_subscripts(string_split(page_content, chr(10)), 1) AS line_no FROM document_pages),
 l AS (SELECT page_id, source_file, page, CAST(line_no AS BIGINT) AS line_no, regexp_replace(regexp_replace(lower(line), '[^\p{L}\p{M}\p{N}]', '', 'g'), '\p{N}+', '0', 'g') AS form FROM raw),

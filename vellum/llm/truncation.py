@@ -9,7 +9,7 @@ often a sentence or text ends. Phrases that come back whole so tell themselves f
 that ask for them; a record's own share is taken off again (and a cut's, from the record it was cut from). All of these enter as
 proportions in classes, so the share of records flagged does not depend on the amount of data.
 
-Only the fit is bounded: it uses SAMPLE values, spread over groups by hash. Values as long as a limit of their group and without
+Only the fit is bounded: it uses values that stand for SAMPLE records, spread over groups. Values as long as a limit of their group and without
 a closing mark are not taken for intact. Cuts lie anywhere in a value, within its last four characters, and at the group's own limits (a value is
 repeated until it is long enough); a part of them gets what systems put in place of a lost end. No value is judged by an earlier fit.
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from vellum.llm.tokenize import fresh, let
 from vellum.session import cut
 
-#: Values the model is fitted on, about.
+#: Records the model is fitted on, about.
 SAMPLE = 12000
 #: Artificial cuts per value: within the last four characters, at a limit of the group, and anywhere.
 CUTS = 5
@@ -37,8 +37,6 @@ CUTS = 5
 WIDTH = 1 << 15
 #: Weight of an artificial cut against a whole value: cut records are rarer than whole ones.
 PRIOR = 0.4
-#: A value weighs in the fit as often as it comes, up to this.
-MOST = 50
 #: How many times more values than at the lengths beside it make a length a limit.
 LIMIT_EXCESS = 5
 #: Beginnings of words are counted up to this length.
@@ -202,18 +200,20 @@ def _cuts(picked: DataFrame) -> DataFrame:
     rows.append(F.struct(t.alias("t"), F.lit(0).alias("kind"), F.lit(1).alias("n"), F.lit(1).alias("ends")))
     bare = F.regexp_replace(t, r"[\s.!?]+$", "")
     rows.append(F.when(t.rlike(_CLOSED) & bare.rlike(_SAYS), F.struct(bare.alias("t"), F.lit(2).alias("kind"), F.lit(1).alias("n"), F.lit(1).alias("ends"))))
-    rows = picked.select("g", "times", F.explode(F.array_compact(F.array(*rows))).alias("e"))
-    mass = F.least(F.col("times") + 1, F.lit(MOST)) * F.when(F.col("e.kind") == 1, PRIOR).otherwise(1.0)
-    return rows.select("g", mass.alias("mass"), "e.*")
+    rows = picked.select("g", "mass", F.explode(F.array_compact(F.array(*rows))).alias("e"))
+    return rows.select("g", (F.col("mass") * F.when(F.col("e.kind") == 1, PRIOR).otherwise(1.0)).alias("mass"), "e.*")
 
 
 def _sample(values: DataFrame, size: int) -> DataFrame:
-    """About size of the values, picked by a hash of the text: half of them the same number per group, half in proportion."""
-    counts = values.groupBy("g").agg(F.count(F.lit(1)).alias("in_group"))
-    whole = counts.agg(F.struct(F.count(F.lit(1)).alias("groups"), F.sum("in_group").alias("values")).alias("w")).scalar()
+    """Values standing for about size records, half of them in proportion and half the same number per group. A value is picked by a
+    hash of its text, with a chance that grows with its records, and mass makes up for what chance cannot hold."""
+    records = F.col("times") + 1
+    counts = values.groupBy("g").agg(F.sum(records).alias("in_group"))
+    whole = counts.agg(F.struct(F.count(F.lit(1)).alias("groups"), F.sum("in_group").alias("records")).alias("w")).scalar()
     picked = values.join(counts.withColumn("_w", whole), "g")
+    due = records * size / 2 * (1 / F.col("in_group") / F.col("_w.groups") + 1 / F.col("_w.records"))
     place = F.pmod(F.xxhash64(F.lit("sample"), "t"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return picked.filter(place < size / 2 * (1 / F.col("in_group") / F.col("_w.groups") + 1 / F.col("_w.values")))
+    return picked.filter(place < due).withColumn("mass", F.greatest(due, F.lit(1.0)))
 
 
 @dataclass
