@@ -3,12 +3,12 @@
 A word's bytes are held as a string with one character per byte (ISO-8859-1), so that pieces join by concat and a rank is
 one map look-up. The ranks enter the plan as one literal row: an array of small maps, picked by a hash of the piece,
 because Spark searches a map from end to end. A word's merges are a fold: each step joins every pair of the lowest
-rank, from left to right.
+rank, from left to right, until no pair has a rank; the steps left after that do nothing.
 
 Words are folded once and not once per occurrence: all words of the corpus are counted (map-side combined), and those
 whose count reaches 1 / dictionary of the total, of which there cannot be more than dictionary, are folded into a second
-literal of the same shape. The rest are folded once per document that holds them. Texts are never shuffled and
-no word is left out, so the result does not depend on the size of the dictionary.
+literal of the same shape. The different words of a document beyond it are folded once per document. Texts are never
+shuffled and no word is left out, so the result does not depend on the size of the dictionary.
 
 Defined results: null and empty texts give an empty array; blank text is text; repeated rows give repeated rows.
 """
@@ -23,13 +23,15 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.session import cut
+
 #: Where the public vocabularies lie; the environment may name another folder.
 VOCABULARY = os.path.join(os.environ.get("VELLUM_TOKENIZERS", "/opt/tokenizers"), "byte_bpe_50k.tiktoken")
 #: The published word pattern of the vocabulary, with white space as Unicode has it. Fixed value.
 PATTERN = r"(?U)'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BUCKETS = 8192
-#: At most so many words of at most so many bytes are sent to the tasks: below 4 MB.
-DICTIONARY, DICTIONARY_WORD = 16384, 48
+#: At most so many words of at most so many bytes are sent to the tasks: below 7 MB.
+DICTIONARY, DICTIONARY_WORD = 65536, 32
 #: Marks around a piece; no byte has these characters.
 OPEN, CLOSE = "\u0100", "\u0101"
 
@@ -87,13 +89,15 @@ def words_of(text: Column) -> Column:
 def fold_merges(word: Column, ranks: Column) -> Column:
     """Ids of one word: the fold of ranked merges over its bytes.
 
-    The state is a string of marked pieces, OPEN piece CLOSE; a merge replaces each adjacent pair of the lowest rank, from
-    left to right, and a step without a ranked pair changes nothing.
+    The state is a string of marked pieces, OPEN piece CLOSE, and whether it may still change; a merge replaces each adjacent
+    pair of the lowest rank, from left to right.
     """
     last = F.lit(2147483647)
+    state_of = lambda s, open_: F.struct(s.alias("s"), open_.alias("open"))
+    yes, no = F.lit(True), F.lit(False)
 
     def step(state: Column, _: Column) -> Column:
-        return let(F.split(state, CLOSE), state, lambda ps: let(_best(ps), state, lambda best: _merge(state, ps, best)))
+        return F.when(state["open"], let(F.split(state["s"], CLOSE), state, lambda ps: let(_best(ps), state, lambda best: _merge(state, ps, best)))).otherwise(state)
 
     def _best(ps: Column) -> Column:
         firsts = F.slice(ps, F.lit(1), F.greatest(F.size(ps) - 2, F.lit(0)))
@@ -101,24 +105,19 @@ def fold_merges(word: Column, ranks: Column) -> Column:
 
     def _merge(state: Column, ps: Column, best: Column) -> Column:
         a, b = F.get(ps, best["at"]), F.get(ps, best["at"] + 1)
-        joined = F.replace(state, F.concat(a, F.lit(CLOSE), b, F.lit(CLOSE)), F.concat(a, F.substring(b, 2, 1 << 30), F.lit(CLOSE)))
-        return F.when(F.coalesce(best["rank"], last) == last, state).otherwise(joined)
+        joined = F.replace(state["s"], F.concat(a, F.lit(CLOSE), b, F.lit(CLOSE)), F.concat(a, F.substring(b, 2, 1 << 30), F.lit(CLOSE)))
+        return F.when(F.coalesce(best["rank"], last) == last, state_of(state["s"], no)).otherwise(state_of(joined, yes))
 
     def ids(state: Column) -> Column:
-        return F.transform(F.filter(F.split(state, CLOSE), lambda p: p != ""), lambda p: look_up(ranks, p))
+        return F.transform(F.filter(F.split(state["s"], CLOSE), lambda p: p != ""), lambda p: look_up(ranks, p))
+
+    def fold(bytes_: Column) -> Column:
+        start = state_of(F.regexp_replace(bytes_, "(?s)(.)", OPEN + "$1" + CLOSE), yes)
+        return ids(F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(bytes_) - 1, F.lit(1))), start, step))
 
     none = F.array().cast("array<int>")
-    return let(
-        byte_string(word),
-        none,
-        lambda bytes_: let(
-            look_up(ranks, F.concat(F.lit(OPEN), bytes_)),
-            none,
-            lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(
-                ids(F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(bytes_) - 1, F.lit(1))), F.regexp_replace(bytes_, "(?s)(.)", OPEN + "$1" + CLOSE), step))
-            ),
-        ),
-    )
+    whole = lambda bytes_: let(look_up(ranks, F.concat(F.lit(OPEN), bytes_)), none, lambda id: F.when(id.isNotNull(), F.array(id)).otherwise(fold(bytes_)))
+    return let(byte_string(word), none, whole)
 
 
 def with_ranks(df: DataFrame, column: str, out: str, body: Callable[[Column, Column], Column], kind: str, path: str) -> DataFrame:
@@ -130,10 +129,9 @@ def with_ranks(df: DataFrame, column: str, out: str, body: Callable[[Column, Col
 
 def dictionary(docs: DataFrame, text: str, size: int = DICTIONARY, path: str = VOCABULARY) -> DataFrame:
     """word and ids of the words that make up 1 / size of all words or more; there are size of them at most."""
-    words = docs.select(F.explode(words_of(F.col(text))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    words = words.filter(F.octet_length("word") <= DICTIONARY_WORD)
-    total = docs.agg(F.coalesce(F.sum(F.size(words_of(F.col(text)))), F.lit(0)).alias("t"))
-    often = words.filter(F.col("n") * size >= total.scalar()).select("word")
+    words = cut(docs.select(F.explode(words_of(F.col(text))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t"))
+    often = words.filter((F.octet_length("word") <= DICTIONARY_WORD) & (F.col("n") * size >= total.scalar())).select("word")
     return with_ranks(often, "word", "ids", fold_merges, "array<int>", path)
 
 
@@ -146,7 +144,13 @@ def encode(docs: DataFrame, text: str = "text", out: str = "ids", size: int = DI
     none = F.array().cast("array<int>")
 
     def ids(k: Column, r: Column) -> Column:
-        return F.flatten(F.transform(words_of(F.col(text)), lambda w: F.coalesce(look_up(k, w), fold_merges(w, r))))
+        return let(words_of(F.col(text)), none, lambda ws: let(F.transform(ws, lambda w: look_up(k, w)), none, lambda found: join(r, ws, found)))
+
+    def join(r: Column, ws: Column, found: Column) -> Column:
+        rare = F.array_distinct(F.filter(ws, lambda w, i: F.get(found, i).isNull()))
+        folded = let(rare, F.lit(None).cast("map<string,array<int>>"), lambda ws: F.map_from_arrays(ws, F.transform(ws, lambda w: fold_merges(w, r))))
+        with_rare = let(folded, none, lambda m: F.flatten(F.transform(ws, lambda w, i: F.coalesce(F.get(found, i), m[w]))))
+        return F.when(F.exists(found, lambda x: x.isNull()), with_rare).otherwise(F.flatten(found))
 
     return held.select(*[c for c in docs.columns if c != out], F.coalesce(let(F.struct(F.col(k).alias("k"), F.col(r).alias("r")), none, lambda h: ids(h["k"], h["r"])), none).alias(out))
 
