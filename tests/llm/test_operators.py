@@ -134,11 +134,16 @@ def test_plan_reaches_targets_and_respects_repeats():
     w, budget, a = mixing.plan({"a": 10, "b": 10}, {"a": 0.9, "b": 0.1}, {"a": 1, "b": 5}, budget=10**9)
     assert budget == 60 and w["a"] * budget <= 10.001
     assert mixing.plan({}, {}, {}) == ({}, 0.0, 1.0)
+    w, budget, t = mixing.plan({"a": 1000, "b": 100, "c": 10}, {"a": 0.4, "b": 0.3, "c": 0.3}, {"a": 1, "b": 1, "c": 2}, target_entropy=0.9)
+    assert 0 < t < 1 and abs(mixing.entropy(w) - 0.9) < 1e-6 and abs(w["c"] * budget - 20) < 1e-6
+    w, budget, t = mixing.plan({"a": 1000, "b": 100, "c": 10}, {"a": 0.4, "b": 0.3, "c": 0.3}, {"a": 1, "b": 1, "c": 2}, budget=900, target_entropy=0.9)
+    assert abs(sum(w.values()) - 1) < 1e-9 and w["c"] * budget <= 20.001 and w["b"] * budget <= 100.001
 
 
 def test_temperature_meets_entropy():
     shares = {"a": 0.7, "b": 0.2, "c": 0.1}
-    assert abs(mixing.entropy(mixing.temperature_weights(shares, 1.0)) - 1.0) < 1e-6
+    w, t = mixing.temperature_weights(shares, 1.0)
+    assert abs(mixing.entropy(w) - 1.0) < 1e-6 and 0 < t < 1
 
 
 def test_mix(spark):
@@ -152,6 +157,10 @@ def test_mix(spark):
     assert got["none"].tokens == 0 and got["c"].tokens == 0
     assert rows.filter("copies < 1 OR n_tokens = 0 OR source IS NULL OR source = 'c'").count() == 0
     assert rows.count() == rows.select("doc_id").distinct().count()
+    rows, shares = mixing.mix(docs, targets, epochs=0.9)
+    exponents = {r.exponent for r in shares.collect()}
+    assert len(exponents) == 1 and 0 < exponents.pop() < 1
+    assert rows.join(targets, "source").filter("copies > max_repeats").count() == 0
     empty_rows, empty_shares = mixing.mix(docs.limit(0), targets)
     assert empty_rows.count() == 0 and empty_shares.count() == 5
 

@@ -10,7 +10,7 @@ def test_same_as_sql(spark, name):
     assert spark_rows(q.REGISTRY.queries[name](spark, DATA)) == duck_rows(DATA, q.REGISTRY.sql[name])
 
 
-@pytest.mark.parametrize("name", ["p1_by_action", "p5_found", "p7_mix", "p8_kept"])
+@pytest.mark.parametrize("name", ["p1_by_action", "p5_found", "p7_mix", "p7_epoch_shares", "p7_entropy_shares", "p8_kept"])
 def test_runs(spark, name):
     assert q.REGISTRY.queries[name](spark, DATA).count() > 0
 

@@ -106,6 +106,34 @@ def p7_shares(spark: SparkSession, directory: str) -> DataFrame:
     return mixing.mix(_sized(spark, directory), table(spark, directory, "mix_targets"))[1]
 
 
+@REGISTRY.query("p7_epoch_shares")
+def p7_epoch_shares(spark: SparkSession, directory: str) -> DataFrame:
+    """A mix of 0.7 of the size of its sources: the exponent is bisected to the limits on repetition."""
+    return mixing.mix(_sized(spark, directory), table(spark, directory, "mix_targets"), epochs=0.7)[1]
+
+
+@REGISTRY.query("p7_entropy_shares")
+def p7_entropy_shares(spark: SparkSession, directory: str) -> DataFrame:
+    """Natural shares flattened to an entropy of 2.65 nats (sixteen equal sources have 2.77): the exponent is bisected to it."""
+    return mixing.mix(_sized(spark, directory), table(spark, directory, "mix_targets"), target_entropy=2.65)[1]
+
+
+@REGISTRY.query(
+    "p7_quotas_by_length",
+    """
+    WITH s AS (SELECT source, sum(n_chars) AS tokens FROM documents WHERE n_chars > 0 AND source IS NOT NULL GROUP BY 1),
+    u AS (SELECT t.source, t.target_share / sum(t.target_share) OVER () AS p, s.tokens, t.max_repeats FROM mix_targets t JOIN s ON s.source = t.source WHERE t.target_share > 0 AND t.max_repeats > 0),
+    b AS (SELECT least(min(tokens * max_repeats / p), sum(tokens * max_repeats)) AS budget FROM u),
+    d AS (SELECT t.source, t.target_share, coalesce(u.p, 0) AS weight, CAST(coalesce(round_even(u.p * b.budget, 0), 0) AS BIGINT) AS due, u.tokens, t.max_repeats FROM mix_targets t LEFT JOIN u ON u.source = t.source CROSS JOIN b),
+    n AS (SELECT *, CAST(CASE WHEN due > 0 THEN least(due // tokens, max_repeats) ELSE 0 END AS BIGINT) AS passes FROM d)
+    SELECT source, target_share, weight, CAST(1 AS DOUBLE) AS exponent, due, passes, CAST(CASE WHEN due > 0 AND passes < max_repeats THEN due - passes * tokens ELSE 0 END AS BIGINT) AS part FROM n""",
+)
+def p7_quotas_by_length(spark: SparkSession, directory: str) -> DataFrame:
+    """What each source is to give if documents are sized by code points."""
+    docs = table(spark, directory, "documents", "source", "n_chars").filter("n_chars > 0 AND source IS NOT NULL")
+    return mixing.quotas(docs.groupBy("source").agg(F.sum("n_chars").alias("tokens")), table(spark, directory, "mix_targets"))
+
+
 def _audit(spark: SparkSession, directory: str) -> DataFrame:
     return truncation.truncated_rows(table(spark, directory, "audit_logs", "id", "action", "detail"), "detail", "action", "id")
 

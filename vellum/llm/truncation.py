@@ -211,7 +211,8 @@ def _sample(values: DataFrame, size: int) -> DataFrame:
     counts = values.groupBy("g").agg(F.sum(records).alias("in_group"))
     whole = counts.agg(F.struct(F.count(F.lit(1)).alias("groups"), F.sum("in_group").alias("records")).alias("w")).scalar()
     picked = values.join(counts.withColumn("_w", whole), "g")
-    due = records * size / 2 * (1 / F.col("in_group") / F.col("_w.groups") + 1 / F.col("_w.records"))
+    rate = F.least(size / 2 * (1 / F.col("in_group") / F.col("_w.groups") + 1 / F.col("_w.records")), F.lit(1.0))
+    due = records * rate
     place = F.pmod(F.xxhash64(F.lit("sample"), "t"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return picked.filter(place < due).withColumn("mass", F.greatest(due, F.lit(1.0)))
 
