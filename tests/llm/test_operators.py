@@ -172,11 +172,13 @@ RESIDUE = [
     "owed by %NAME_OF_SUPPLIER% today", "the @@lugar@@ rose", "on ${START_DATE} at", "{% if_party %} pays", "see [TBD] below", "fill <AMOUNT> here", "made on the ____ day of May, 20__",
     "404 Page not found\nThe file you asked for was moved or has been removed.", "<noscript>Please enable JavaScript to continue</noscript>", "Lorem ipsum dolor sit amet magna aliqua", "abc abc abc abc abc abc", "Bitte aktivieren Sie JavaScript, um fortzufahren.\nWird geladen …",
     "SAMPLE DOCUMENT 3 - for demonstration, no content.", '{"status": 503, "error": "Acceso denegado", "trace": "c23b"}', "Accès refusé. Réessayer. (404/47b7)", "asdf jkl asdf jklö", "Paragraph 1\n………………\nParagraph 2\n……",
+    "signed on XX/XX/20XX by both", "dated DD.MM.YYYY in Oslo", "Who {0} title to it?", "owned by __RAISON_SOCIALE__ at once", "The [insert " + "a long description of the services to be rendered and of the place " * 3 + "] is due.", "it%(name)s pays", "for%%NAME%% it", "qwertz uiop zuio",
+    "This server refused your request because your session has expired.\nPlease log in again.", "Sorry, the website is unavailable at the moment. Come back later.", "Cookies must be allowed and scripts are required in this browser.", "Die Verbindung zum Server ist fehlgeschlagen. Bitte versuchen Sie es später.",
 ]
 SOUND = [
     None, "", " \n", "​", "Signed for Acme Ltd.: ______________________", "Portions marked [***] were left out at the request of Acme Ltd.", "See Annex <B> where the deviation is < 0.5% or > 43%.", "Send notices to <desk@acme.example> and quote file #4 [sic] [1].",
     "Authors mark an open field with double braces, like “{{party}}”, and the clerk refuses such filings.", "The portal works without JavaScript; if a user disables scripts, the Seller shall show every notice.", "Any message “access denied” shown to a user counts as downtime under Section 4.",
-    "The Borrower shall not use placeholder text or dummy data in the production system.", "Le prêteur veille à ce que la mention « page introuvable » reste rare.", "The rate is 5% and the discount 10%.", "```\n{{ code }}\n```\nThe licence covers the example above.", "x " * 3 + "The parties agree. " * 2000 + "End.",
+    "The Borrower shall not use placeholder text or dummy data in the production system.", "Le prêteur veille à ce que la mention « page introuvable » reste rare.", "The rate is 5% and the discount 10%.", "```\n{{ code }}\n```\nThe licence covers the example above.", "The seller shall reload the page where access is denied to the buyer.", "The file moved to the tenant under Section 4 was not found by the lender.", "x " * 3 + "The parties agree. " * 2000 + "End.",
 ]
 
 

@@ -7,8 +7,9 @@ marks (a text that explains a notation quotes it). Square and angle brackets and
 legal texts, so there the content must look like a field: a word of instruction, a name with underscores, a bullet or a
 blank. Blanks count unless they end a line after a colon, or fill a line, as those for signatures do.
 
-Whole texts of filler or messages: the text is cut into lines and sentences; each is residue if a phrase of the lists
-covers it from its start. The text is residue if such pieces hold at least DENSITY of its letters and digits, so a contract
+Whole texts of filler or messages: the text is cut into lines and sentences; each is residue if it says of a page, server, login
+or the like that it failed, asks for scripts, tells the reader to try again, or begins in a form of such messages or of filler, and
+does not speak of parties or clauses. The text is residue if such pieces hold at least DENSITY of its letters and digits, so a contract
 that quotes a message is none. Filler without phrases is found by its words: few different ones, or all of them
 from a filler vocabulary, or all typed on one row of keys.
 
@@ -27,7 +28,8 @@ from vellum.llm.tokenize import let
 
 DENSITY = 0.75
 
-_NAME = r"[\p{L}][\p{L}\p{N}_ \-.:/\n]{0,58}"
+#: A field goes on to its closing delimiter, however long it is.
+_NAME = r"[\p{L}][\p{L}\p{N}_ \-.:/\n]*+"
 #: Words that ask for something to be put in, in five languages. Fixed values.
 _ASK = r"insert|fill in|enter|add here|complete|hier einsetzen|einsetzen|einfügen|eintragen|ausfüllen|insérer|inserer|à compléter|a completer|compléter|indiquer|insertar|por completar|completar|rellenar|indicar|inserire|da inserire|da completare|compilare|indicare|to be (?:inserted|completed|determined|agreed|confirmed|advised)|tbd|tbc|tba|placeholder|xxx+"
 #: What fields are called when no underscore tells. Fixed values.
@@ -50,16 +52,18 @@ FIELD_GRAMMARS = {
     "double_brace": _unquoted(r"\{\{") + r"\{?\s*[#/&^>]?\s*" + _NAME + r"\s*\}\}",
     "template_tag": r"\{%-?\s*" + _NAME + r"\s*-?%\}|<%[=\-#]?\s*" + _NAME + r"\s*-?%>",
     "dollar": r"\$\{\s*" + _NAME + r"\s*\}|\$\(" + _IDENT + r"\)",
-    "single_brace": _unquoted(r"\{", r"{$%\\") + r"\s*\p{L}[\p{L}\p{N}_ \-\n]{1,58}\s*\}(?!\})",
+    "single_brace": _unquoted(r"\{", r"{$%\\") + r"\s*(?:\p{L}[\p{L}\p{N}_ \-\n]++|\d+\s*)\}(?!\})",
     "double_square": _unquoted(r"\[\[") + r"\s*" + _NAME + r"\s*\]\]",
-    "square": "(?i)" + _unquoted(r"\[", r"\[") + r"\s*(?:(?:" + _ASK + r")\b[^\[\]]{0,60}|" + _IDENT + r"|(?:" + _FIELDS + r")|[•●_▪■ \t]*[•●_▪■][•●_▪■ \t]*|[^\[\]]{0,40}\b(?:" + _ASK + r"))\s*\](?!\])",
-    "angle": _unquoted("<<") + r"\s*" + _NAME + r"\s*>>|(?i)<\s*(?:(?:" + _ASK + r")\b[^<>]{0,60}|" + _IDENT + r"|(?:" + _FIELDS + r")|[^<>@/]{0,40}\b(?:" + _ASK + r"))\s*>",
-    "capital_angle": _unquoted("<") + r"\s*\p{Lu}{2}[\p{Lu} _\n]{1,58}>",
-    "guillemet": r"«(?:" + _IDENT + r"|[\p{Lu}_]{3,40}|\p{L}{3,40}|(?i:" + _ASK + r")[^«»]{0,40}|(?i:" + _FIELDS + r"))»",
-    "percent": _after(r"[\p{L}\p{N}%]", "%") + rf"(?:[\p{{L}}_]{{3,60}}%(?!{_LETTER})|\(\w+\)[sd]|[sd](?![\p{{L}}\p{{N}}%])|%[\p{{L}}_ ]{{2,60}}%%)",
-    "hash": _after(r"[\p{L}\p{N}#]", "#") + rf"#?\p{{L}}[\p{{L}}_]{{2,60}}##?(?!{_LETTER})",
-    "at": r"@@\p{L}[\p{L}_ ]{1,60}@@|" + _after(r"[\p{L}\p{N}.@]", "@") + r"[\p{Lu}_]{3,60}@",
+    "square": "(?i)" + _unquoted(r"\[", r"\[") + r"\s*(?:(?:" + _ASK + r")\b[^\[\]]*+|" + _IDENT + r"|(?:" + _FIELDS + r")|[•●_▪■ \t]*[•●_▪■][•●_▪■ \t]*|[^\[\]]*\b(?:" + _ASK + r"))\s*\](?!\])",
+    "angle": _unquoted("<<") + r"\s*" + _NAME + r"\s*>>|(?i)<\s*(?:(?:" + _ASK + r")\b[^<>]*+|" + _IDENT + r"|(?:" + _FIELDS + r")|[^<>@/]*\b(?:" + _ASK + r"))\s*>",
+    "capital_angle": _unquoted("<") + r"\s*\p{Lu}{2}[\p{Lu} _\n]++>",
+    "guillemet": r"«(?:" + _IDENT + r"|[\p{Lu}_]{3,}+|\p{L}{3,}+|(?i:" + _ASK + r")[^«»]*+|(?i:" + _FIELDS + r"))»",
+    "percent": _after(r"[\p{L}\p{N}%]", "%") + rf"(?:[\p{{L}}_]{{3,}}+%(?!{_LETTER})|[sd](?![\p{{L}}\p{{N}}%]))|%\(\w+\)[sd](?!\p{{L}})|%%[\p{{L}}_ ]{{2,}}+%%",
+    "hash": _after(r"[\p{L}\p{N}#]", "#") + rf"#?\p{{L}}[\p{{L}}_]{{2,}}+##?(?!{_LETTER})",
+    "at": r"@@\p{L}[\p{L}_ ]++@@|" + _after(r"[\p{L}\p{N}.@]", "@") + r"[\p{Lu}_]{3,}+@",
     "crosses": _after(_LETTER, "(?:XXXX|xxxx|Xxxx)") + rf"[Xx]*(?!{_LETTER})",
+    "date": _after(_LETTER, "(?:XX|xx)") + r"[/.\-](?:XX|xx)(?:[/.\-](?:20)?(?:XX|xx|\d\d))?" + f"(?!{_LETTER})|" + _after(_LETTER, "(?:DD|TT|JJ|GG)") + r"[/.\-]MM[/.\-](?:YY|JJ|AA)+" + f"(?!{_LETTER})",
+    "dunder": _after(r"[\p{L}\p{N}_]", "__") + r"\p{L}(?:[\p{L}\p{N} ]|_(?!_))*+__(?![\p{L}\p{N}_])",
     "mark": _after(_LETTER, "(?:TBD|TBC|FIXME)") + rf"(?!{_LETTER})",
     "blank": r"_{3,}|(?<=20)__(?!\p{L})",
 }
@@ -67,33 +71,27 @@ FIELD_GRAMMARS = {
 #: What a text must hold, one of each, for its grammar to be tried: a plain search is many times cheaper than a pattern.
 _OPENINGS = {
     "double_brace": ["{{"], "template_tag": ["{%", "<%"], "dollar": ["${", "$("], "single_brace": ["{"], "double_square": ["[["], "square": ["["], "angle": ["<"], "capital_angle": ["<"],
-    "guillemet": ["«"], "percent": ["%"], "hash": ["#"], "at": ["@"], "crosses": ["XXXX", "xxxx", "Xxxx"], "mark": ["TBD", "TBC", "FIXME"], "blank": ["__"],
+    "guillemet": ["«"], "percent": ["%"], "hash": ["#"], "at": ["@"], "crosses": ["XXXX", "xxxx", "Xxxx"], "date": ["XX", "xx", "MM"], "dunder": ["__"], "mark": ["TBD", "TBC", "FIXME"], "blank": ["__"],
 }
 
 _CODE = r"(?s)```.*?```|~~~.*?~~~|<pre>.*?</pre>|<code>.*?</code>|(?<!`)`[^`\n]+`(?!`)"
 #: Lines for signatures: a blank that ends a line after a colon, or fills a line, or stands beside another such.
-_SIGNATURE = r"(?m)^[^\n_]{0,160}[:：][ \t]*_{3,}[ \t.]*\r?$|^[ \t]*(?:_{3,}[ \t]*)+\r?$|^[ \t]*(?:by|name|title|date|place|signature|signed|ort|datum|unterschrift|fait à|lieu|firma|fecha|luogo|data)\b[^\n_]{0,60}_{3,}[ \t]*\r?$"
-
-#: Messages of servers, viewers and script checks, and filler, as they begin a line or sentence; lower case. Fixed values.
+_SIGNATURE = r"(?m)^[^\n_]*[:：][ \t]*_{3,}[ \t.]*\r?$|^[ \t]*(?:_{3,}[ \t]*)+\r?$|^[ \t]*(?:by|name|title|date|place|signature|signed|ort|datum|unterschrift|fait à|lieu|firma|fecha|luogo|data)\b[^\n_]*_{3,}[ \t]*\r?$"
+
+#: What messages of servers, viewers and scripts speak of, and what they say of it, in five languages; lower case. Fixed values.
+_THINGS = r"page|file|document|record|site|website|web site|server|host|gateway|service|session|login|log-?in|password|account|access|request|response|reply|connection|network|preview|viewer|browser|portal|application|content|resource|link|url|address|traffic|rights|permission|something|error|problem|maintenance|archive|seite|datei|dokument|server|dienst|sitzung|anmeldung|zugriff|anfragen?|verbindung|vorschau|browser|inhalt|fehler|wartungsarbeiten|page|fichier|document|serveur|service|session|accès|requêtes?|connexion|aperçu|navigateur|contenu|erreur|maintenance|página|archivo|documento|servidor|servicio|sesión|acceso|solicitud(?:es)?|conexión|navegador|contenido|error|mantenimiento|pagina|file|documento|server|servizio|sessione|accesso|richiest[ae]|connessione|anteprima|browser|contenuto|errore|manutenzione"
+_FAILS = r"not found|not be found|cannot be found|does not exist|no longer exists?|moved|removed|deleted|denied|forbidden|not allowed|unauthori[sz]ed|lack|expired|no longer valid|invalid|timed out|time-?out|did not (?:reply|respond|answer)|not (?:responding|reachable|available)|unavailable|failed|failure|could not be (?:displayed|loaded|opened|shown|found)|cannot be (?:displayed|loaded|opened|shown)|went wrong|occurred|in progress|working on it|unusual|too many|bad|internal|unexpected|nicht gefunden|verschoben|gelöscht|verweigert|abgelaufen|nicht (?:erreichbar|verfügbar|rechtzeitig)|geantwortet|fehlgeschlagen|aufgetreten|zu viele|introuvable|déplacé|supprimé|refusé|expirée?|indisponible|pas répondu|échoué|survenue|trop de|en cours|no encontrad[ao]|movido|eliminado|denegado|caducad[ao]|no disponible|no respondió|producido|demasiadas|non trovat[ao]|spostato|rimosso|eliminato|negato|scadut[ao]|non disponibile|non ha risposto|verificato|troppe"
+#: How they tell the reader what to do, at the beginning of a short piece. Fixed values.
+_ADVICE = r"(?:please |bitte |veuillez |por favor,? )?(?:we(?:'|’| a)re working on|try again|retry|reload|refresh|sign in|log in|go back|return to the (?:start|home)|back to (?:the )?(?:start|home)|contact (?:the |your )?(?:helpdesk|support|administrator|webmaster)|ask your administrator|search the|come back|wait a|click here|clear your|check (?:the|your) (?:url|address|connection|browser)|erneut versuchen|versuchen sie es|melden sie sich|zur startseite|laden sie die seite|aktualisieren sie|réessayer|réessayez|vous reconnecter|reconnectez|retour à l|rechargez|revenez|reintentar|inténtelo|vuelva a|inicie sesión|volver al|recargue|riprovare?|riprova|accedere di nuovo|accedi|torna(?:re)? (?:alla|all)|ricaricare?|poi ricaricare|después vuelva)"
+#: What requests to enable scripts speak of. Fixed values.
+_SCRIPTS = r"java ?scripts?|scripts?|scripting|cookies|browsers?|skripte|scripts|navigateur|navegador"
+_SCRIPT_ASKS = r"enable|turn on|switch(?:ed)? off|disabled|required|requires?|needs?|need to|must be on|allow|supported|checking|active|aktivieren|benötigt|erforderlich|activer|exige|nécessaire|activ[ae]|necesita|requiere|attivare|attiva|richiede|necessario"
+#: Who speaks in a contract: a piece that names them or a place in it is no message. Fixed values.
+_LEGAL = r"\b(?:shall|section|clause|article|schedule|annex|party|parties|licensee|licensor|seller|buyer|purchaser|lender|borrower|tenant|landlord|supplier|provider|customer|ziffer|anlage|artikel|partei|käufer|verkäufer|mieter|vermieter|lieferant|annexe|vendeur|acheteur|bailleur|preneur|cláusula|anexo|artículo|vendedor|comprador|arrendador|clausola|articolo|allegato|venditore|acquirente|locatore)\b|§"
+#: The forms messages come in, and filler and test input, as they begin a line or sentence; lower case. Fixed values.
 PHRASES = [
-    # titles of errors
-    r"page not found", r"access denied", r"session expired", r"bad gateway", r"service (?:temporarily )?unavailable", r"something went wrong", r"internal (?:problem|server error)", r"too many requests", r"request timed out", r"maintenance in progress", r"not found", r"forbidden", r"unauthori[sz]ed", r"gateway time-?out", r"document could not be displayed", r"an? (?:unexpected )?error (?:has )?occurred",
-    r"seite nicht gefunden", r"zugriff verweigert", r"sitzung abgelaufen", r"dienst (?:vorübergehend )?nicht erreichbar", r"ein fehler ist aufgetreten", r"wartungsarbeiten", r"zu viele anfragen",
-    r"page introuvable", r"accès refusé", r"session expirée", r"service (?:momentanément )?indisponible", r"une erreur est survenue", r"trop de requêtes", r"maintenance en cours",
-    r"página no encontrada", r"acceso denegado", r"sesión caducada", r"servicio (?:temporalmente )?no disponible", r"se ha producido un error", r"demasiadas solicitudes",
-    r"pagina non trovata", r"accesso negato", r"sessione scaduta", r"servizio (?:temporaneamente )?non disponibile", r"si è verificato un errore", r"troppe richieste",
-    # what follows them
-    r"the file you asked for was moved or has been removed", r"the archive server did not reply", r"the upstream host sent an invalid reply", r"you lack the rights to open this record", r"your login is no longer valid", r"we are working on it", r"our systems noticed unusual traffic", r"the preview service failed to load", r"sign in again", r"go back to the start page", r"contact the helpdesk", r"search the register", r"try again", r"please try again", r"reload the page", r"reference:? [0-9a-f]{6,}", r"\([45]\d\d/[0-9a-f]{4,}\)", r"retry",
-    r"das gewünschte dokument wurde verschoben oder gelöscht", r"der server hat nicht rechtzeitig geantwortet", r"bitte melden sie sich erneut an", r"erneut versuchen", r"zur startseite", r"laden sie die seite",
-    r"le document demandé a été déplacé ou supprimé", r"le serveur n[’']a pas répondu à temps", r"veuillez vous reconnecter", r"réessayer", r"retour à l[’']accueil", r"rechargez ensuite la page",
-    r"el documento solicitado se ha movido o eliminado", r"el servidor no respondió a tiempo", r"vuelva a iniciar sesión", r"inicie sesión de nuevo", r"reintentar", r"volver al inicio", r"después vuelva a cargar la página",
-    r"il documento richiesto è stato spostato o (?:rimosso|eliminato)", r"il server non ha risposto in tempo", r"accedere di nuovo", r"riprovare?", r"torna(?:re)? (?:alla (?:home|pagina iniziale)|all[’']inizio)", r"poi ricaricare la pagina",
-    # the forms they come in
-    r"(?:error|http|status|fehler|erreur|codice|código)? ?[45]\d\d\b(?!\.\d)", r"traceback\b", r"step \w+, line \d+", r"\w+(?:reset|timeout|problem|error|exception): ", r"home [|·]", r"\w+ archive$", r"\{\"status\": ?[45]\d\d", r"<(?:!doctype|html|noscript)\b",
-    # scripts
-    r"please enable javascript", r"enable javascript", r"javascript is (?:required|disabled|off)", r"this (?:viewer|site|page|portal) (?:needs|requires) (?:scripts|javascript)", r"scripting is switched off", r"you need to (?:turn on|enable) javascript", r"checking your browser", r"older browsers are no longer supported", r"ask your administrator how to allow scripts", r"once it is active, reload", r"loading\s*(?:…|\.\.\.)",
-    r"bitte aktivieren sie javascript", r"dieses portal benötigt skripte", r"wird geladen", r"veuillez activer javascript", r"cette page exige les scripts", r"chargement", r"active javascript para", r"este visor necesita scripts", r"cargando", r"attivare javascript", r"questa pagina richiede", r"questo (?:visore|portale|sito) richiede", r"caricamento",
-    # filler and test input
+    r"not found$", r"forbidden$", r"unauthori[sz]ed$", r"reference:? [0-9a-f]{6,}", r"\([45]\d\d/[0-9a-f]{4,}\)", r"(?:error|http|status|fehler|erreur|codice|código)? ?[45]\d\d\b(?!\.\d)", r"traceback\b", r"(?:step|at|in|file) \S+,? line \d+", r"\w+(?:reset|timeout|problem|error|exception): ", r"home [|·]", r"\w+ archive$", r"\{\"(?:status|code|error)\": ?\"?[45]\d\d", r"<(?:!doctype|html|noscript)\b",
+    r"loading\s*(?:…|\.\.\.)", r"wird geladen", r"chargement", r"cargando", r"caricamento",
     r"sample (?:document|paragraph|text)", r"for demonstration, no content", r"this page was created to test", r"test (?:document|page|input|text|upload)\b", r"dummy (?:wording|text)", r"your heading here", r"text of the clause goes here", r"(?:your )?text (?:goes )?here", r"platzhaltertext", r"blindtext", r"hier steht", r"texte? (?:de remplissage|provisoire|fictif)", r"texto de (?:relleno|ejemplo|prueba)", r"testo (?:segnaposto|di prova|di esempio|fittizio)", r"content to follow", r"body text", r"lorem ipsum", r"(?:paragraph|heading|bullet|item|clause title|clause) \d+$", r"\d+\. (?:heading|bullet|item|clause title|paragraph|section|title) \d+$", r"tbd\.?$", r"tba\.?$", r"[….\s]+$", r"do not index\b",
 ]
 _PHRASE = "^(?:" + "|".join(PHRASES) + ")"
@@ -102,9 +100,12 @@ _LEAD = r"[\s\p{Z}\p{Cf}#*\-–>|•\"“]"
 #: A phrase at the beginning of any piece, or more: ends of pieces are not looked at.
 _ANY_PHRASE = rf"(?m)(?:^|[.!?…]\s|>){_LEAD}*(?:" + "|".join("…" if p.startswith("[….") else p.replace("$", "") for p in PHRASES) + ")"
 
+#: A cheap test for anything that may be a message.
+_ANY_CUE = rf"\b(?:{_FAILS}|{_SCRIPTS}|{_ADVICE})\b"
+
 #: The vocabulary of pseudo-Latin filler. Fixed values.
 LATIN = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua donec fusce integer mauris nulla nisi ornare porta pulvinar sapien semper turpis varius velit vitae egestas feugiat lectus libero dictum vestibulum viverra quis nunc nam in ac at id eu vel non est enim urna massa justo tellus augue risus purus cras morbi proin aenean".split()
-_KEYS = r"^[asdfghjklöäqwer]+$"
+_KEYS = r"^(?:[asdfghjklöä]+|[qwertzuiopüy]+|[yxcvbnm]+|[asdfghjklöäqwer]+)$"
 _BARE = r"[\s\p{Z}\p{Cc}\p{Cf}]"
 
 
@@ -127,9 +128,12 @@ def message_share(text: Column) -> Column:
     size = lambda p: F.length(F.regexp_replace(p, r"[^\p{L}\p{N}…]+", ""))
     bare = lambda p: F.regexp_replace(p, rf"^{_LEAD}+|[\s\p{{Z}}\p{{Cf}}]+$", "")
     pieces = F.split(low, r"\r?\n|(?<=[.!?…])\s+|(?<=</?(?:title|h1|p|head|body|html)>)")
-    hits = F.aggregate(pieces, F.lit(0), lambda a, p: a + F.when(bare(p).rlike(_PHRASE), size(p)).otherwise(0))
+    word = lambda p, ws: p.rlike(rf"\b(?:{ws})\b")
+    message = lambda p: ~p.rlike(_LEGAL) & (p.rlike(rf"(?:^|[,;] ){_ADVICE}\b") | (word(p, _FAILS) & word(p, _THINGS)) | (word(p, _SCRIPTS) & word(p, _SCRIPT_ASKS)))
+    hit = lambda p: p.rlike(_PHRASE) | message(p)
+    hits = F.aggregate(pieces, F.lit(0), lambda a, p: a + F.when(hit(bare(p)), size(p)).otherwise(0))
     total = size(low)
-    return F.when(low.rlike(_ANY_PHRASE), F.coalesce(hits / F.nullif(total, F.lit(0)), F.lit(0.0))).otherwise(0.0)
+    return F.when(low.rlike(_ANY_PHRASE) | low.rlike(_ANY_CUE), F.coalesce(hits / F.nullif(total, F.lit(0)), F.lit(0.0))).otherwise(0.0)
 
 
 def is_filler(text: Column) -> Column:
