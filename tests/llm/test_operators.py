@@ -183,7 +183,7 @@ SOUND = [
 
 
 def test_residue(spark):
-    df = spark.createDataFrame([(i, t, "y") for i, t in enumerate(RESIDUE + SOUND)], "doc_id int, text string, filler string")
+    df = spark.createDataFrame([(i, t, "y") for i, t in enumerate(RESIDUE + SOUND)], "doc_id int, text string, filler string")  # a clashing name
     got = {r.doc_id: r.residue for r in residue.residue(df).collect()}
     assert [t for i, t in enumerate(RESIDUE) if not got[i]] == []
     assert [t[:60] if t else t for i, t in enumerate(SOUND, len(RESIDUE)) if got[i]] == []

@@ -97,11 +97,7 @@ PHRASES = [
 _PHRASE = "^(?:" + "|".join(PHRASES) + ")"
 #: What may stand before a phrase in its piece.
 _LEAD = r"[\s\p{Z}\p{Cf}#*\-–>|•\"“]"
-#: A phrase at the beginning of any piece, or more: ends of pieces are not looked at.
-_ANY_PHRASE = rf"(?m)(?:^|[.!?…]\s|>){_LEAD}*(?:" + "|".join("…" if p.startswith("[….") else p.replace("$", "") for p in PHRASES) + ")"
-
-#: A cheap test for anything that may be a message.
-_ANY_CUE = rf"\b(?:{_FAILS}|{_SCRIPTS}|{_ADVICE})\b"
+_QUOTED = r"“[^”]*”|«[^»]*»|„[^“”]*[“”]"
 
 #: The vocabulary of pseudo-Latin filler. Fixed values.
 LATIN = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua donec fusce integer mauris nulla nisi ornare porta pulvinar sapien semper turpis varius velit vitae egestas feugiat lectus libero dictum vestibulum viverra quis nunc nam in ac at id eu vel non est enim urna massa justo tellus augue risus purus cras morbi proin aenean".split()
@@ -119,21 +115,26 @@ def open_fields(text: Column) -> Column:
     return F.array_compact(F.array(*tests))
 
 
-def message_share(text: Column) -> Column:
-    """The part of the letters and digits of text that stands in pieces of messages or filler, 0 to 1.
+def is_message(text: Column, density: float = DENSITY) -> Column:
+    """Whether at least density of the letters and digits of text stand in pieces of messages or filler.
 
-    One search over the whole text tells first whether any piece begins with a phrase; only then is the text cut up.
+    Pieces are looked at from the first on until the rest cannot matter: most texts are told by their first quarter.
     """
     low = F.lower(text)
     size = lambda p: F.length(F.regexp_replace(p, r"[^\p{L}\p{N}…]+", ""))
     bare = lambda p: F.regexp_replace(p, rf"^{_LEAD}+|[\s\p{{Z}}\p{{Cf}}]+$", "")
     pieces = F.split(low, r"\r?\n|(?<=[.!?…])\s+|(?<=</?(?:title|h1|p|head|body|html)>)")
     word = lambda p, ws: p.rlike(rf"\b(?:{ws})\b")
-    message = lambda p: ~p.rlike(_LEGAL) & (p.rlike(rf"(?:^|[,;] ){_ADVICE}\b") | (word(p, _FAILS) & word(p, _THINGS)) | (word(p, _SCRIPTS) & word(p, _SCRIPT_ASKS)))
-    hit = lambda p: p.rlike(_PHRASE) | message(p)
-    hits = F.aggregate(pieces, F.lit(0), lambda a, p: a + F.when(hit(bare(p)), size(p)).otherwise(0))
-    total = size(low)
-    return F.when(low.rlike(_ANY_PHRASE) | low.rlike(_ANY_CUE), F.coalesce(hits / F.nullif(total, F.lit(0)), F.lit(0.0))).otherwise(0.0)
+    says = lambda p: p.rlike(rf"(?:^|[,;] ){_ADVICE}\b") | (word(p, _FAILS) & word(p, _THINGS)) | (word(p, _SCRIPTS) & word(p, _SCRIPT_ASKS))
+    message = lambda p: let(F.regexp_replace(p, _QUOTED, " "), F.lit(False), says)
+    hit = lambda p: p.rlike(_PHRASE) | (~p.rlike(_LEGAL) & message(p))
+
+    def judge(total: Column) -> Column:
+        spare = total * (1 - density)
+        missed = F.aggregate(pieces, F.lit(0), lambda m, p: F.when(m > spare, m).otherwise(m + let(bare(p), F.lit(0), lambda b: F.when(hit(b), 0).otherwise(size(b)))))
+        return (total > 0) & (missed <= spare)
+
+    return F.coalesce(let(size(low), F.lit(False), judge), F.lit(False))
 
 
 def is_filler(text: Column) -> Column:
@@ -158,8 +159,8 @@ def is_filler(text: Column) -> Column:
 
 
 def residue(docs: DataFrame, text: str = "text", density: float = DENSITY) -> DataFrame:
-    """docs with fields (array of grammars that hit), message_share, filler, and residue: whether to leave the text out."""
+    """docs with fields (array of grammars that hit), message, filler, and residue: whether to leave the text out."""
     t = F.col(text)
     says = F.regexp_replace(t, _BARE, "") != ""
-    out = docs.withColumns({"fields": open_fields(t), "message_share": message_share(t), "filler": is_filler(t)})
-    return out.withColumn("residue", F.coalesce(says & ((F.size("fields") > 0) | (F.col("message_share") >= density) | F.col("filler")), F.lit(False)))
+    out = docs.withColumns({"fields": open_fields(t), "message": is_message(t, density), "filler": is_filler(t)})
+    return out.withColumn("residue", F.coalesce(says & ((F.size("fields") > 0) | F.col("message") | F.col("filler")), F.lit(False)))
