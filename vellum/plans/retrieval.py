@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from vellum.functions.text import page_ranges as format_ranges
 from vellum.operators import retrieval as rt
 from vellum.operators.chunks import window_chunks
+from vellum.operators.hybrid import DEPTHS, fused_hits
+from vellum.operators.hybrid import hybrid_search as whole_search
+from vellum.operators.scoring import LETTERS, term_coverage
 from vellum.plans import REGISTRY
 from vellum.plans.texts import _LATEST, latest_pages
 from vellum.sources.tables import table
@@ -76,16 +79,11 @@ covr AS (SELECT *, row_number() OVER (PARTITION BY source_row ORDER BY score DES
 fused AS (SELECT source_row, doc_id, round(sum(0.5 / (60 + rank)), 9) AS score FROM (SELECT source_row, doc_id, rank FROM lex UNION ALL SELECT source_row, doc_id, rank FROM covr) GROUP BY 1, 2)"""
 
 
-def _coverage(spark: SparkSession, directory: str, corpus: DataFrame) -> DataFrame:
-    """The share of the question's terms that each document holds: the stand-in for a second retriever."""
-    asked = _questions(spark, directory).select("source_row", F.array_distinct(rt.terms(F.col("question"))).alias("t")).select("source_row", F.size("t").alias("n"), F.explode("t").alias("term"))
-    held = rt.postings(corpus, [], "doc_id", "text").select("doc_id", "term")
-    return asked.join(held, "term").groupBy("source_row", "doc_id").agg(F.round(F.count(F.lit(1)) / F.max("n"), 6).alias("score"))
-
-
 def _fused(spark: SparkSession, directory: str, corpus: DataFrame) -> DataFrame:
-    lexical = rt.bm25(_questions(spark, directory), "source_row", "question", corpus, "doc_id", "text", 20)
-    return rt.fuse([(lexical, 0.5), (rt.top_k(_coverage(spark, directory, corpus), "source_row", "doc_id", 20), 0.5)], "source_row", "doc_id")
+    """BM25 and, in place of a second retriever, the share of the question's terms that a document holds."""
+    q = _questions(spark, directory)
+    lexical = rt.bm25(q, "source_row", "question", corpus, "doc_id", "text", 20)
+    return rt.fuse([(lexical, 0.5), (rt.coverage(q, "source_row", "question", corpus, "doc_id", "text", 20), 0.5)], "source_row", "doc_id")
 
 
 def _fusion_sql(docs: str) -> str:
@@ -112,9 +110,9 @@ def _hybrid_sql(docs: str) -> str:
 def _hybrid(spark: SparkSession, directory: str, corpus: DataFrame) -> DataFrame:
     """Twenty fused hits, reranked by the stand-in scorer (term coverage, then fusion), five kept."""
     hits = _fused(spark, directory, corpus).filter("rank <= 20").select("source_row", "doc_id", F.col("rank").alias("fr"))
-    cover = _coverage(spark, directory, corpus).select("source_row", "doc_id", F.col("score").alias("cover"))
-    w = Window.partitionBy("source_row").orderBy(F.desc(F.coalesce("cover", F.lit(0.0))), "fr")
-    ranked = hits.join(cover, ["source_row", "doc_id"], "left").withColumn("rank", F.row_number().over(w))
+    w = Window.partitionBy("source_row").orderBy(F.desc("cover"), "fr")
+    cover = term_coverage(F.col("question"), F.col("text"))
+    ranked = hits.join(corpus, "doc_id").join(_questions(spark, directory), "source_row").withColumn("cover", cover).withColumn("rank", F.row_number().over(w))
     return ranked.filter("rank <= 5").select("source_row", "doc_id", "rank")
 
 
@@ -158,20 +156,29 @@ def scoped_topk(spark: SparkSession, directory: str) -> DataFrame:
     return rt.nearest(q, e.filter(F.col("label").isin(1, 4, 7)), "vec_id", "embedding", 5)
 
 
-def _per_label(spark: SparkSession, directory: str, k: int) -> DataFrame:
-    """The k rows of each label nearest to each query: labels are disjoint, so each is searched in its own blocks."""
-    q, e = _vectors(spark, directory)
-    near, out = [r.label for r in e.select("label").distinct().orderBy("label").collect()], None  # ten labels
-    for label in near:
-        one = rt.nearest(q, e.filter(F.col("label") == label), "vec_id", "embedding", k).withColumn("label", F.lit(label))
-        out = one if out is None else out.unionByName(one)
-    return out
+_COSINE = "list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v))"
+
 
+def _mmr_sql(picks: int) -> str:
+    v = "SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings"
+    parts = [
+        f"e AS ({v})", f"c AS (SELECT a.vec_id AS query_id, b.label, b.vec_id, b.v, round({_COSINE}, 6) AS near6, round({_COSINE}, 9) AS near FROM e a, e b WHERE a.vec_id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id, b.label ORDER BY near6 DESC, b.vec_id) <= 20)",
+        "p1 AS (SELECT query_id, label, vec_id, v, 1 AS pick FROM c QUALIFY row_number() OVER (PARTITION BY query_id, label ORDER BY near DESC, vec_id) = 1)",
+    ]
+    for i in range(2, picks + 1):
+        parts.append(
+            f"p{i} AS (SELECT * FROM p{i - 1} UNION ALL SELECT query_id, label, vec_id, v, {i} FROM (SELECT b.query_id, b.label, b.vec_id, any_value(b.v) AS v, any_value(b.near) AS near, round(0.5 * any_value(b.near) - 0.5 * max({_COSINE}), 9) AS s FROM c b JOIN p{i - 1} a USING (query_id, label) "
+            f"WHERE NOT EXISTS (SELECT 1 FROM p{i - 1} x WHERE x.query_id = b.query_id AND x.label = b.label AND x.vec_id = b.vec_id) GROUP BY 1, 2, 3) QUALIFY row_number() OVER (PARTITION BY query_id, label ORDER BY s DESC, near DESC, vec_id) = 1)"
+        )
+    return f"WITH {', '.join(parts)} SELECT query_id, label, vec_id, CAST(pick AS INT) AS pick FROM p{picks}"
 
-@REGISTRY.query("mmr_per_doc")
+
+@REGISTRY.query("mmr_per_doc", _mmr_sql(5))
 def mmr_per_doc(spark: SparkSession, directory: str) -> DataFrame:
+    """Five of the twenty rows of each label nearest to each query: one search with the labels as groups, then a fold."""
     q, e = _vectors(spark, directory)
-    c = _per_label(spark, directory, 20).join(q.withColumnRenamed("embedding", "qv"), "query_id").join(e.select("vec_id", F.col("embedding").alias("v")), "vec_id")
+    near = rt.nearest(q, e, "vec_id", "embedding", 20, group="label").select("query_id", "label", "vec_id")
+    c = near.join(q.withColumnRenamed("embedding", "qv"), "query_id").join(e.select("vec_id", F.col("embedding").alias("v")), "vec_id")
     return rt.mmr(c.select("query_id", "label", "vec_id", "qv", "v"), "query_id", "label", "vec_id", 5)
 
 
@@ -280,7 +287,14 @@ def parent_swap_all(spark: SparkSession, directory: str) -> DataFrame:
     return _swapped(spark, directory, _everything(spark, directory))
 
 
-@REGISTRY.query("chunk_search", None)
+_CHUNK_DOCS = f"(SELECT page_id * 10000 + i AS doc_id, substr(page_content, CAST(i * 300 + 1 AS INT), 350) AS text FROM (SELECT *, unnest(generate_series(0, greatest(0, (length(page_content) - 51) // 300))) AS i FROM ({_LATEST}) WHERE length(page_content) > 0))"
+
+
+@REGISTRY.query(
+    "chunk_search",
+    f"WITH {_bm25_sql(20, _CHUNK_DOCS)}, p AS (SELECT source_row, doc_id // 10000 AS page_id, CAST(min(rank) AS INT) AS first_rank FROM lex GROUP BY 1, 2) "
+    "SELECT source_row, page_id, first_rank, CAST(row_number() OVER (PARTITION BY source_row ORDER BY first_rank) AS INT) AS rank FROM p QUALIFY rank <= 5",
+)
 def chunk_search(spark: SparkSession, directory: str) -> DataFrame:
     """BM25 over window chunks of all pages, hits swapped for their pages."""
     pages = latest_pages(spark, directory)
@@ -288,3 +302,82 @@ def chunk_search(spark: SparkSession, directory: str) -> DataFrame:
     hits = rt.bm25(_questions(spark, directory), "source_row", "question", chunks, "chunk_id", "chunk", 20)
     parents = hits.withColumn("page_id", F.floor(F.col("chunk_id") / 10000)).groupBy("source_row", "page_id").agg(F.min("rank").alias("first_rank"))
     return parents.withColumn("rank", F.row_number().over(Window.partitionBy("source_row").orderBy("first_rank"))).filter("rank <= 5")
+
+
+def _children(spark: SparkSession, directory: str) -> DataFrame:
+    """Pages as children; three pages of a file make a parent; a page without a section has none."""
+    parent = F.when(F.col("section") != "", F.concat_ws("#", "source_file", F.floor((F.col("page") - 1) / 3).cast("string")))
+    return latest_pages(spark, directory).select("page_id", "page", "page_content", parent.alias("parent_id"))
+
+
+def _parents(children: DataFrame) -> DataFrame:
+    pages = F.array_sort(F.collect_list(F.struct("page", "page_content")))  # three pages
+    return children.filter("parent_id IS NOT NULL").groupBy("parent_id").agg(pages.alias("p")).select("parent_id", F.array_join(F.col("p.page_content"), "\n").alias("parent_text"))
+
+
+def _whole_sql(k: int) -> str:
+    """Dense and lexical lists over pages, and their fusion f, all of k."""
+    split = lambda c: f"list_filter(regexp_split_to_array({c}, '\\s+'), lambda t: t <> '')"
+    letters = lambda c: "[" + ", ".join(f"CAST(length(lower({c})) - length(replace(lower({c}), '{x}', '')) AS DOUBLE)" for x in LETTERS) + "]"
+    return rf"""ch AS (SELECT page_id, page, page_content, CASE WHEN section <> '' THEN source_file || '#' || ((page - 1) // 3) END AS parent_id FROM ({_LATEST})),
+par AS (SELECT parent_id, string_agg(page_content, chr(10) ORDER BY page) AS parent_text FROM ch WHERE parent_id IS NOT NULL GROUP BY 1),
+a AS (SELECT source_row, question, {letters("question")} AS v FROM {_Q}), b AS (SELECT page_id, {letters("page_content")} AS v FROM ch),
+dense AS (SELECT source_row, page_id, row_number() OVER (PARTITION BY source_row ORDER BY score DESC, page_id) AS rank FROM (SELECT source_row, page_id, round({_COSINE}, 6) AS score FROM a, b) QUALIFY rank <= {k}),
+ds AS (SELECT page_id, {split("page_content")} AS ts FROM ch), n AS (SELECT count(*) AS n_docs, avg(len(ts)) AS avg_dl FROM ds),
+tf AS (SELECT page_id, dl, term, count(*) AS tf FROM (SELECT page_id, len(ts) AS dl, unnest(ts) AS term FROM ds) GROUP BY 1, 2, 3),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), i0 AS (SELECT term, ln(n_docs - df + 0.5) - ln(df + 0.5) AS i FROM df, n),
+idf AS (SELECT term, CASE WHEN i < 0 THEN (SELECT avg(i) * 0.25 FROM i0) ELSE i END AS idf FROM i0),
+qs AS (SELECT source_row, term, count(*) AS qtf FROM (SELECT source_row, unnest({split("question")}) AS term FROM {_Q}) GROUP BY 1, 2),
+sc AS (SELECT source_row, page_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avg_dl))), 6) AS score FROM qs JOIN tf USING (term) JOIN idf USING (term), n GROUP BY 1, 2),
+lex AS (SELECT a.source_row, ds.page_id, coalesce(sc.score, 0) AS score, row_number() OVER (PARTITION BY a.source_row ORDER BY coalesce(sc.score, 0) DESC, ds.page_id) AS rank FROM a CROSS JOIN ds LEFT JOIN sc ON sc.source_row = a.source_row AND sc.page_id = ds.page_id QUALIFY rank <= {k}),
+f0 AS (SELECT source_row, page_id, round(sum(0.5 / (60 + rank)), 9) AS score FROM (SELECT source_row, page_id, rank FROM dense UNION ALL SELECT source_row, page_id, rank FROM lex) GROUP BY 1, 2),
+f AS (SELECT *, row_number() OVER (PARTITION BY source_row ORDER BY score DESC, page_id) AS rank FROM f0)"""
+
+
+def _hybrid_pages_sql(fetched: int, kept: int) -> str:
+    return rf"""WITH {_whole_sql(fetched)}, h AS (SELECT f.source_row, f.rank, ch.page, ch.parent_id, CASE WHEN ch.parent_id IS NULL THEN f.page_id END AS page_id FROM f JOIN ch USING (page_id) WHERE f.rank <= {fetched}),
+hp AS (SELECT source_row, parent_id, page_id, page, min(rank) AS rank FROM h GROUP BY ALL), s AS (SELECT source_row, parent_id, page_id, list(page ORDER BY rank) AS pages, min(rank) AS first_rank FROM hp GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY source_row ORDER BY parent_id IS NULL, first_rank) AS place FROM s),
+x AS (SELECT r.*, list_distinct(list_filter(regexp_split_to_array(lower(a.question), '\s+'), lambda t: t <> '')) AS qt, list_filter(regexp_split_to_array(lower(coalesce(par.parent_text, own.page_content)), '\s+'), lambda t: t <> '') AS ct
+  FROM r JOIN a USING (source_row) LEFT JOIN par ON par.parent_id = r.parent_id LEFT JOIN ch own ON own.page_id = r.page_id),
+y AS (SELECT *, round(len(list_intersect(qt, ct)) / len(qt), 6) AS score FROM x)
+SELECT source_row, parent_id, page_id, pages, score, CAST(row_number() OVER (PARTITION BY source_row ORDER BY score DESC, place) AS INT) AS rank FROM y QUALIFY rank <= {kept}"""
+
+
+def _hybrid_pages(spark: SparkSession, directory: str, intent: str) -> DataFrame:
+    children = _children(spark, directory)
+    return whole_search(_questions(spark, directory), "source_row", "question", children, "page_id", "page_content", _parents(children), *DEPTHS[intent])
+
+
+@REGISTRY.query("hybrid_fact", _hybrid_pages_sql(10, 3))
+def hybrid_fact(spark: SparkSession, directory: str) -> DataFrame:
+    """Vectors and BM25 over all pages, fused, swapped to parents with their pages, reranked: 10 fetched, 3 kept."""
+    return _hybrid_pages(spark, directory, "fact")
+
+
+@REGISTRY.query("hybrid_analytical", _hybrid_pages_sql(20, 5))
+def hybrid_analytical(spark: SparkSession, directory: str) -> DataFrame:
+    """As hybrid_fact, 20 fetched, 5 kept."""
+    return _hybrid_pages(spark, directory, "analytical")
+
+
+@REGISTRY.query("bm25_okapi", f"WITH {_whole_sql(10)} SELECT source_row, page_id, score, CAST(rank AS INT) AS rank FROM lex")
+def bm25_okapi(spark: SparkSession, directory: str) -> DataFrame:
+    """Terms as they stand, idf with a floor, always ten rows."""
+    return rt.bm25(_questions(spark, directory), "source_row", "question", _children(spark, directory), "page_id", "page_content", 10, mode="okapi_floor", lower=False, pad=True)
+
+
+@REGISTRY.query("hybrid_fused", f"WITH {_whole_sql(10)} SELECT source_row, page_id, score, CAST(rank AS INT) AS rank FROM f")
+def hybrid_fused(spark: SparkSession, directory: str) -> DataFrame:
+    return fused_hits(_questions(spark, directory), "source_row", "question", _children(spark, directory), "page_id", "page_content", 10)
+
+
+@REGISTRY.query(
+    "term_statistics",
+    r"""WITH t AS (SELECT list_filter(regexp_split_to_array(text, '\s+'), lambda t: t <> '') AS ts FROM documents WHERE text IS NOT NULL), n AS (SELECT count(*) AS n FROM t),
+    d AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(ts)) AS term FROM t) GROUP BY 1), i AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS i FROM d, n)
+    SELECT term, df, round(CASE WHEN i < 0 THEN (SELECT avg(i) * 0.25 FROM i) ELSE i END, 6) AS idf FROM i""".replace("\\\\", "\\"),
+)
+def term_statistics(spark: SparkSession, directory: str) -> DataFrame:
+    """The lexical index of a snapshot: what every search of it reads instead of counting again."""
+    return rt.term_idf(_everything(spark, directory), "text", "okapi_floor", lower=False).select("term", "df", F.round("idf", 6).alias("idf"))
