@@ -63,9 +63,23 @@ def normal_space(text: Column, lower: bool = True) -> Column:
     return F.lower(out) if lower else out
 
 
+#: Words in a run.
+RUN = 3
+
+
+def word_runs(text: Column, size: int = RUN) -> Column:
+    """Hashes of all runs of size words. The words are bound to a variable: they would be split again for each run."""
+
+    def runs(ws: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(ws) - size, F.lit(0)))
+        return F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(ws, i + 1, size), " ")))
+
+    return F.array_distinct(F.get(F.transform(F.array(F.split(text, " ")), runs), F.lit(0)))
+
+
 def normal_name(name: Column) -> Column:
-    """A file name's letters and digits, without its .pdf."""
-    return F.regexp_replace(F.regexp_replace(F.lower(name), r"\.pdf", ""), "[^a-z0-9]", "")
+    """A file name's letters and digits, without the .pdf at its end."""
+    return F.regexp_replace(F.regexp_replace(F.lower(name), r"\.pdf$", ""), "[^a-z0-9]", "")
 
 
 def fingerprint(text: Column) -> Column:

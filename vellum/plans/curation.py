@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import text as tx
-from vellum.operators.provenance import RUN, provenance, word_runs
+from vellum.operators.provenance import paragraph_votes, provenance
 from vellum.plans import REGISTRY
 from vellum.sources.tables import table
 
@@ -64,6 +64,30 @@ def provenance_vote(spark: SparkSession, directory: str) -> DataFrame:
     return votes.withColumn("r", F.rank().over(w)).filter("r = 1").drop("r")
 
 
+def _files(spark: SparkSession, directory: str) -> DataFrame:
+    return table(spark, directory, "document_pages", "source_file", "page_content")
+
+
+@REGISTRY.query("provenance_files")
+def provenance_files(spark: SparkSession, directory: str) -> DataFrame:
+    """Which file each first context of the golden set came from."""
+    g = table(spark, directory, "golden_dataset", "source_row", "reference_contexts").select("source_row", F.get("reference_contexts", F.lit(0)).alias("passage"))
+    return provenance(g, "source_row", "passage", _files(spark, directory), "source_file", "page_content")
+
+
+@REGISTRY.query(
+    "paragraph_votes",
+    r"""WITH g AS (SELECT source_row, substr(trim(regexp_replace(lower(p), '\s+', ' ', 'g')), 1, 200) AS probe FROM (SELECT source_row, unnest(string_split(reference_contexts[1], chr(10) || chr(10))) AS p FROM golden_dataset)),
+    d AS (SELECT source_file, trim(regexp_replace(lower(page_content), '\s+', ' ', 'g')) AS t FROM document_pages),
+    n AS (SELECT source_row, probe, count(*) AS times FROM g WHERE length(probe) >= 30 GROUP BY 1, 2), h AS (SELECT DISTINCT source_row, probe, times, source_file FROM n JOIN d ON contains(t, probe))
+    SELECT source_row, source_file, CAST(sum(times) AS BIGINT) AS votes FROM h GROUP BY 1, 2 QUALIFY rank() OVER (PARTITION BY source_row ORDER BY sum(times) DESC) = 1""".replace("\\\\", "\\"),
+)
+def paragraph_vote(spark: SparkSession, directory: str) -> DataFrame:
+    """The files that hold most paragraphs of each first context; all with the most votes."""
+    g = table(spark, directory, "golden_dataset", "source_row", "reference_contexts").select("source_row", F.get("reference_contexts", F.lit(0)).alias("passage"))
+    return paragraph_votes(g, "source_row", "passage", _files(spark, directory), "source_file", "page_content")
+
+
 @REGISTRY.query("round_robin", "SELECT page_id, source_file, rn FROM (SELECT page_id, source_file, row_number() OVER (PARTITION BY source_file ORDER BY CAST(page AS VARCHAR), length(page_content), page_id) AS rn FROM document_pages) ORDER BY rn, source_file, page_id LIMIT 120")
 def round_robin(spark: SparkSession, directory: str) -> DataFrame:
     """One page of each file in turn, 120 in all."""
@@ -114,7 +138,7 @@ def missing_titles(spark: SparkSession, directory: str) -> DataFrame:
     return wanted.subtract(table(spark, directory, "document_jobs", "source_file", "status").filter("status = 'failed'").select("source_file"))
 
 
-@REGISTRY.query("name_match", "SELECT DISTINCT j.source_file AS wanted, p.source_file AS found FROM document_jobs j JOIN (SELECT DISTINCT source_file FROM document_pages) p ON regexp_replace(regexp_replace(lower(j.source_file), '\\.pdf', '', 'g'), '[^a-z0-9]', '', 'g') = regexp_replace(regexp_replace(lower(p.source_file), '\\.pdf', '', 'g'), '[^a-z0-9]', '', 'g')")
+@REGISTRY.query("name_match", "SELECT DISTINCT j.source_file AS wanted, p.source_file AS found FROM document_jobs j JOIN (SELECT DISTINCT source_file FROM document_pages) p ON regexp_replace(regexp_replace(lower(j.source_file), '\\.pdf$', '', 'g'), '[^a-z0-9]', '', 'g') = regexp_replace(regexp_replace(lower(p.source_file), '\\.pdf$', '', 'g'), '[^a-z0-9]', '', 'g')")
 def name_match(spark: SparkSession, directory: str) -> DataFrame:
     """Names that are equal once extension, case and punctuation are gone."""
     a = table(spark, directory, "document_jobs", "source_file").distinct().select(F.col("source_file").alias("wanted"), tx.normal_name(F.col("source_file")).alias("k"))
@@ -229,11 +253,11 @@ def context_precision_all(spark: SparkSession, directory: str) -> DataFrame:
     its words, where they are fewer). The bit stands in for a judge's; a reference without words makes none relevant."""
     words = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{M}\p{N}]+", " "))
     r = _retrieved(spark, directory).withColumn("asked", F.when(words(F.col("reference")) != "", words(F.col("reference"))))
-    few = F.size(F.split("asked", " ")) < RUN
-    r = r.withColumn("runs", F.when(~few, word_runs(F.col("asked"))))
+    few = F.size(F.split("asked", " ")) < tx.RUN
+    r = r.withColumn("runs", F.when(~few, tx.word_runs(F.col("asked"))))
 
     def bit(c: F.Column) -> F.Column:
-        held = F.size(F.array_intersect("runs", word_runs(words(c)))) / F.size("runs")
+        held = F.size(F.array_intersect("runs", tx.word_runs(words(c)))) / F.size("runs")
         whole = F.contains(F.concat(F.lit(" "), words(c), F.lit(" ")), F.concat(F.lit(" "), "asked", F.lit(" ")))
         return F.coalesce(F.when(few, whole).otherwise(held >= HELD).cast("int"), F.lit(0))
 

@@ -102,7 +102,7 @@ def strip_footer(spark: SparkSession, directory: str) -> DataFrame:
     return r.select("result_id", tx.without_footer(F.concat("response", F.lit(" [1] [2]\nSources Used:\n[1] "), "doc_source_file")).alias("answer"))
 
 
-@REGISTRY.query("norm_name", "SELECT DISTINCT source_file, regexp_replace(regexp_replace(lower(source_file), '\\.pdf', '', 'g'), '[^a-z0-9]', '', 'g') AS name FROM document_pages")
+@REGISTRY.query("norm_name", "SELECT DISTINCT source_file, regexp_replace(regexp_replace(lower(source_file), '\\.pdf$', '', 'g'), '[^a-z0-9]', '', 'g') AS name FROM document_pages")
 def norm_name(spark: SparkSession, directory: str) -> DataFrame:
     return table(spark, directory, "document_pages", "source_file").distinct().select("source_file", tx.normal_name(F.col("source_file")).alias("name"))
 
