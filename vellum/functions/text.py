@@ -22,7 +22,9 @@ REFERENCE_WORDS = "it|its|they|them|their|this|that|these|those|he|she|him|her|h
 REFUSAL_MARKERS = {
     "service": ["therefore an answer cannot be generated", "no information relevant", "does not contain information", "cannot answer this based on"],
     "evaluation": ["cannot answer this based on the provided documents", "therefore an answer cannot be generated"],
+    "first": ["cannot answer this based on the provided documents", "provided context chunks do not contain", "therefore an answer cannot be generated based on these documents"],
 }
+INTENT_OF_SYNTHESIZER = {"single_hop_specific_query_synthesizer": "FACT", "multi_hop_abstract_query_synthesizer": "ANALYTICAL", "multi_hop_specific_query_synthesizer": "ANALYTICAL"}
 CATEGORY_PATTERNS = [
     ("JOINT VENTURE", "joint_venture"), ("JV AGREEMENT", "joint_venture"), ("JV CONTRACT", "joint_venture"), ("NON-COMPETITION", "non_compete"), ("NON COMPETITION", "non_compete"),
     ("NON SOLICITATION", "non_compete"), ("STRATEGIC ALLIANCE", "strategic_alliance"), ("DEVELOPMENT AGREEMENT", "development"), ("DEVELOPMENT1", "development"), ("DEVELOPMENT2", "development"),
@@ -140,3 +142,46 @@ def page_ranges(pages: Column) -> Column:
     ends = F.filter(nums, lambda p: ~F.array_contains(nums, p + 1))
     parts = F.zip_with(starts, ends, lambda a, b: F.when(a == b, a.cast("string")).otherwise(F.concat(a.cast("string"), F.lit("-"), b.cast("string"))))
     return F.when(F.size(nums) == 0, "").otherwise(F.concat(F.when(F.size(nums) > 1, "pp. ").otherwise("p. "), F.array_join(parts, ", ")))
+
+
+def quoted_tag(text: Column, tags: list[str], marks: str = '""') -> Column:
+    """The first of tags, in their order, that stands in text between marks; null without one."""
+    return F.coalesce(*[F.when(F.contains(text, F.lit(marks[0] + t + marks[1])), t) for t in tags])
+
+
+def tag_within(text: Column, tags: list[str]) -> Column:
+    """The first of tags, in their order, that stands anywhere in text in any case; null without one."""
+    return F.coalesce(*[F.when(F.contains(F.lower(text), F.lit(t.lower())), t) for t in tags])
+
+
+def audit_detail(question: Column, files: Column | None = None) -> Column:
+    """What an audit row keeps of a question: 200 characters, or of a comparison how many files and 120."""
+    if files is None:
+        return F.substring(question, 1, 200)
+    return F.concat(files.cast("string"), F.lit(" docs · "), F.substring(question, 1, 120))
+
+
+def intent_of(synthesizer: Column) -> Column:
+    low, out = F.lower(synthesizer), None
+    for name, intent_ in INTENT_OF_SYNTHESIZER.items():
+        out = F.when(low == name, intent_) if out is None else out.when(low == name, intent_)
+    return out.otherwise("FACT")
+
+
+def retry_after(message: Column, default: float = 2.0) -> Column:
+    """The seconds that a message asks to wait; default without any."""
+    return F.coalesce(F.regexp_extract(message, r"try again in (\d+\.?\d*)s", 1).try_cast("double"), F.lit(default))
+
+
+def human_size(size: Column) -> Column:
+    """Bytes as B, whole KB or MB with one decimal."""
+    return F.when(size < 1024, F.concat(size.cast("string"), F.lit("B"))).when(size < 1 << 20, F.concat(F.floor(size / 1024.0 + 0.5).cast("string"), F.lit("KB"))).otherwise(F.format_string("%.1fMB", F.floor(size / 104857.6 + 0.5) / 10))
+
+
+def first_spelling(claims: Column) -> Column:
+    """Claims that differ in more than case and space around them, each as first spelled, in order; blank ones left out."""
+    bare = lambda c: F.regexp_replace(c, r"^[\s\p{Z}\p{Cf}]+|[\s\p{Z}\p{Cf}]+$", "")
+    shown = F.filter(F.transform(claims, bare), lambda c: c != "")
+    keys = F.transform(shown, lambda c: F.lower(c))
+    both = F.transform(F.array(F.struct(shown.alias("s"), keys.alias("k"))), lambda x: F.filter(x["s"], lambda c, i: F.array_position(x["k"], F.lower(c)) == i + 1))
+    return F.get(both, F.lit(0))

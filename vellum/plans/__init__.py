@@ -7,6 +7,6 @@ REGISTRY = Registry()
 
 def load() -> Registry:
     """Import every module of queries; each registers its own."""
-    from vellum.plans import account, curation, integrity, relational, retrieval, texts  # noqa: F401
+    from vellum.plans import account, curation, integrity, records, relational, retrieval, texts  # noqa: F401
 
     return REGISTRY

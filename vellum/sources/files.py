@@ -45,7 +45,7 @@ def names(spark: SparkSession, path: str) -> DataFrame:
     return t.filter("name <> ''")
 
 
-def listing(spark: SparkSession, path: str, glob: str = "*.{pdf,PDF}", max_bytes: int | None = None) -> DataFrame:
+def listing(spark: SparkSession, path: str, glob: str = "*.[pP][dD][fF]", max_bytes: int | None = None) -> DataFrame:
     """path and length of the files below path; contents are not read."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path).select("path", "length")
     return f.filter(F.col("length") <= max_bytes) if max_bytes else f
@@ -56,6 +56,31 @@ def list_column(text: Column) -> Column:
     return F.coalesce(F.from_json(text, "array<string>"), F.when(text.isNotNull(), F.array(text)))
 
 
+def prompt(spark: SparkSession, path: str) -> str:
+    """The text of one prompt file, without white space around it."""
+    return (spark.read.text(path, wholetext=True).first() or [""])[0].strip()
+
+
+def tolerant_json(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of JSON lines: what does not parse goes to rejects as text, and a path that is not there gives no rows."""
+    jvm = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not jvm.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm):
+        lines = spark.createDataFrame([], "value string")
+    else:
+        lines = spark.read.text(path).filter(F.trim("value") != "")
+    parsed = lines.select("value", F.from_json("value", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
+    bad = F.col("r._corrupt_record").isNotNull()
+    return parsed.filter(~bad).select("r.*").drop("_corrupt_record"), parsed.filter(bad).select("value")
+
+
+def payload_origin(payload: Column) -> Column:
+    """struct of source and page of a payload {metadata: {source, file_name, page}, source, page} held as JSON, by a chain of
+    fall-backs; metadata that is no object counts as empty."""
+    at = lambda path: F.nullif(F.get_json_object(payload, path), F.lit(""))
+    source = F.coalesce(at("$.metadata.source"), at("$.source"), at("$.metadata.file_name"), F.lit("unknown_source"))
+    return F.struct(source.alias("source"), F.coalesce(at("$.metadata.page"), at("$.page"), F.lit("unknown_page")).alias("page"))
+
+
 def require(df: DataFrame, columns: list[str]) -> DataFrame:
     """df, or an error that names the columns it lacks, before anything runs."""
     lacks = [c for c in columns if c not in df.columns]
@@ -87,5 +112,24 @@ def export(df: DataFrame, path: str, list_columns: list[str] = ()) -> None:
     df.withColumns({c: F.to_json(c) for c in list_columns}).write.mode("overwrite").csv(f"{path}/csv", header=True, escape='"')
 
 
+def append_rows(df: DataFrame, path: str) -> None:
+    """Append a batch of results."""
+    df.write.mode("append").parquet(path)
+
+
+def append_log(reports: DataFrame, path: str, answer: str = "answer", size: int = 120) -> None:
+    """Append reports as JSON lines, the answer cut to size characters: a log, not a record."""
+    reports.withColumn(answer, F.substring(answer, 1, size)).write.mode("append").json(path)
+
+
+def persist_turns(turns: DataFrame, sessions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(messages, touched) of turns (turn_id, session_id, user_id, question, answer, at): two messages a turn and the new time of its
+    session. Turns whose session is not there or is another user's give nothing."""
+    owned = turns.join(sessions.select(F.col("id").alias("session_id"), "user_id"), ["session_id", "user_id"], "left_semi")
+    two = F.array(F.struct(F.lit(0).alias("seq"), F.lit("user").alias("role"), F.col("question").alias("content")), F.struct(F.lit(1).alias("seq"), F.lit("assistant").alias("role"), F.col("answer").alias("content")))
+    messages = owned.select("turn_id", "session_id", "at", F.inline(two)).select("turn_id", "session_id", "seq", "role", "content", F.col("at").alias("created_at"))
+    return messages, owned.groupBy("session_id").agg(F.max("at").alias("updated_at"))
+
+
 def _fields(schema: str) -> str:
     return ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in StructType.fromDDL(schema))

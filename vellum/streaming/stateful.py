@@ -93,6 +93,33 @@ def lockouts_batch(attempts: DataFrame) -> DataFrame:
     return out.select("user_id", "locked_at", (F.col("locked_at") + lock).alias("locked_until"))
 
 
+def fold_frames(frames: DataFrame, key: str = "id") -> DataFrame:
+    """key, content, sources, verification, failed and n_frames of each answer from its frames (key, seq, kind, payload), in order of seq.
+
+    token adds to content, done gives the sources, verification the report; an error replaces content and marks the answer as failed. Of
+    several done or verification frames the last counts, of errors too. An answer's frames are as many as its tokens; other
+    kinds and repeats of a seq are left out.
+    """
+    kinds = ("token", "done", "verification", "error")
+    once = frames.filter(F.col("kind").isin(*kinds)).groupBy(key, "seq").agg(F.min(F.struct("kind", "payload")).alias("f")).select(key, "seq", "f.*")
+    g = once.groupBy(key).agg(
+        F.array_sort(F.collect_list(F.when(F.col("kind") == "token", F.struct("seq", "payload")))).alias("tokens"),
+        *[F.max_by("payload", F.when(F.col("kind") == k, F.col("seq"))).alias(k) for k in kinds[1:]], F.count(F.lit(1)).alias("n_frames"),
+    )
+    failed = F.col("error").isNotNull()
+    return g.select(key, F.when(failed, F.col("error")).otherwise(F.array_join(F.col("tokens.payload"), "")).alias("content"), F.col("done").alias("sources"), "verification", failed.alias("failed"), "n_frames")
+
+
+def refresh_index(pages: DataFrame, path: str, keys: list[str], checkpoint: str) -> object:
+    """Keep the table at path up to date with a stream of loaded pages: each batch replaces exactly the partitions it holds."""
+    from vellum.sources.files import replace_partitions
+
+    def replace(batch: DataFrame, _: int) -> None:
+        replace_partitions(batch, path, keys)
+
+    return pages.writeStream.foreachBatch(replace).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def append_audit(audit: DataFrame, path: str, checkpoint: str) -> object:
     """Append a stream of audit rows to Parquet, exactly once, and stop when what is there now is written."""
     return audit.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
