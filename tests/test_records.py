@@ -52,7 +52,7 @@ def test_containing_against_brute_force(spark, monkeypatch):
     p = spark.createDataFrame(list(needles.items()), "k int, needle string")
     d = spark.createDataFrame([(*r, r[0]) for r in docs], "doc int, text string, needle int")
     want = {(k, i) for k, n in needles.items() for i, t in docs if t is not None and n in norm[i]}
-    for block, size in ((16384, 1 << 20), (20, 500)):
+    for block, size in ((65536, 1 << 20), (20, 500)):
         monkeypatch.setattr(provenance, "NEEDLES", block)
         monkeypatch.setattr(provenance, "CHARACTERS", size)
         assert {(r.k, r.doc) for r in provenance.containing(p, "k", d, "doc", "text").collect()} == want

@@ -13,7 +13,7 @@ from vellum.session import cut
 #: Prefix lengths tried in turn, the shortest prefix that counts, and the probe and shortest probe of a paragraph. Fixed values.
 PREFIXES, SHORTEST, PARAGRAPH, SHORTEST_PARAGRAPH = (400, 250, 150, 80), 40, 200, 30
 #: Needles that are looked for in one pass over the texts: what is sent to the tasks is bounded by it, at PREFIXES[0] characters each.
-NEEDLES = 16384
+NEEDLES = 65536
 #: Windows are hashed at the longest of these lengths that a needle has; every needle has one.
 ANCHORS = (64, 40, 20, 10, 5, 2, 1)
 #: Characters of texts that a task hashes at once.

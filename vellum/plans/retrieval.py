@@ -16,6 +16,7 @@ from vellum.operators.hybrid import hybrid_search as whole_search
 from vellum.operators.scoring import LETTERS, term_coverage
 from vellum.plans import REGISTRY
 from vellum.plans.texts import _LATEST, latest_pages
+from vellum.session import cut
 from vellum.sources.tables import table
 
 _TENANT = "court_digest"
@@ -305,9 +306,9 @@ def chunk_search(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def _children(spark: SparkSession, directory: str) -> DataFrame:
-    """Pages as children; three pages of a file make a parent; a page without a section has none."""
+    """Pages as children; three pages of a file make a parent; a page without a section has none. Written once, as the chain reads them often."""
     parent = F.when(F.col("section") != "", F.concat_ws("#", "source_file", F.floor((F.col("page") - 1) / 3).cast("string")))
-    return latest_pages(spark, directory).select("page_id", "page", "page_content", parent.alias("parent_id"))
+    return cut(latest_pages(spark, directory).select("page_id", "page", "page_content", parent.alias("parent_id")))
 
 
 def _parents(children: DataFrame) -> DataFrame:
