@@ -79,7 +79,7 @@ def needs_rephrase_all(spark: SparkSession, directory: str) -> DataFrame:
 @REGISTRY.query("refusal_flag", f"SELECT result_id, {_any('response', tx.REFUSAL_MARKERS['service'])} AS service, {_any('response', tx.REFUSAL_MARKERS['evaluation'])} AS evaluation FROM ragas_eval_results WHERE response IS NOT NULL")
 def refusal_flag(spark: SparkSession, directory: str) -> DataFrame:
     r = table(spark, directory, "ragas_eval_results").filter("response IS NOT NULL")
-    return r.select("result_id", *[tx.contains_any(F.col("response"), m).alias(n) for n, m in tx.REFUSAL_MARKERS.items()])
+    return r.select("result_id", *[tx.contains_any(F.col("response"), m).alias(n) for n, m in tx.REFUSAL_MARKERS.items() if n != "first"])
 
 
 @REGISTRY.query("section_hint", r"""SELECT page_id, nullif(substr(regexp_replace(regexp_extract(substr(page_content, 1, 500),
