@@ -61,6 +61,20 @@ def test_lockout_batch_equals_stream(spark, tmp_path):
     assert {(r.user_id, pd.Timestamp(r.locked_at)) for r in spark.sql("SELECT * FROM locks").collect()} == want
 
 
+def test_frames_stream_equals_batch(spark, tmp_path):
+    schema, src = "id string, seq long, kind string, payload string", str(tmp_path / "in")
+    first = [("a", 2, "token", "llo"), ("a", 1, "token", "he"), ("b", 1, "token", "x"), ("c", 1, "token", "open")]
+    later = [("a", 3, "done", "[1]"), ("a", 4, "verification", "{}"), ("b", 2, "error", "bad")]
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    for rows in (first, later):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        q = stateful.frames_stream(stateful.stream_table(spark, src, schema)).writeStream.format("parquet").option("path", str(tmp_path / "out")).outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    want = {tuple(r) for r in stateful.fold_frames(spark.createDataFrame(first + later, schema)).drop("n_frames").collect() if r.id != "c"}
+    assert got == want and len(got) == 2
+
+
 def test_rate_limit_stream_equals_batch(spark, tmp_path):
     a = spark.read.parquet(f"{DATA}/audit_logs.parquet").filter("ip_address IS NOT NULL").select("ip_address", "action", F.col("created_at").cast("timestamp").alias("created_at"))
     a.coalesce(1).write.parquet(str(tmp_path / "in"))

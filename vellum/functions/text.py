@@ -137,11 +137,15 @@ def preview(text: Column, size: int = 300) -> Column:
 
 def page_ranges(pages: Column) -> Column:
     """[3, 4, 5, 7] as 'pp. 3-5, 7': neighbours merged, p. for a single page, empty for none."""
-    nums = F.array_sort(F.array_distinct(pages))
-    starts = F.filter(nums, lambda p: ~F.array_contains(nums, p - 1))
-    ends = F.filter(nums, lambda p: ~F.array_contains(nums, p + 1))
-    parts = F.zip_with(starts, ends, lambda a, b: F.when(a == b, a.cast("string")).otherwise(F.concat(a.cast("string"), F.lit("-"), b.cast("string"))))
-    return F.when(F.size(nums) == 0, "").otherwise(F.concat(F.when(F.size(nums) > 1, "pp. ").otherwise("p. "), F.array_join(parts, ", ")))
+
+    def shown(nums: Column) -> Column:
+        starts = F.filter(nums, lambda p: ~F.array_contains(nums, p - 1))
+        ends = F.filter(nums, lambda p: ~F.array_contains(nums, p + 1))
+        parts = F.zip_with(starts, ends, lambda a, b: F.when(a == b, a.cast("string")).otherwise(F.concat(a.cast("string"), F.lit("-"), b.cast("string"))))
+        return F.when(F.size(nums) == 0, "").otherwise(F.concat(F.when(F.size(nums) > 1, "pp. ").otherwise("p. "), F.array_join(parts, ", ")))
+
+    # bound to a variable, so that the pages are sorted once
+    return F.get(F.transform(F.array(F.array_sort(F.array_distinct(pages))), shown), F.lit(0))
 
 
 def quoted_tag(text: Column, tags: list[str], marks: str = '""') -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A block wider than this part of the page spans it; a page has two columns if each half holds this part of the narrow blocks.
+#: A block wider than this part of the page spans it; a page has two columns if each half holds this part of the narrow blocks. Fixed values.
 SPAN, HALF, BUCKET = 0.55, 0.15, 5
 
 

@@ -283,3 +283,27 @@ def similar_names(spark: SparkSession, directory: str) -> DataFrame:
     j = table(spark, directory, "chat_sessions", "uploaded_files").select(F.explode("uploaded_files").alias("wanted")).distinct()
     j = j.select(F.when(F.pmod(F.xxhash64("wanted"), F.lit(20)) == 0, F.concat(F.substring("wanted", 3, 24), F.lit("_v2.pdf"))).otherwise(F.col("wanted")).alias("wanted"))
     return match_names(j, "wanted", table(spark, directory, "document_pages", "source_file"), "source_file")
+
+
+@REGISTRY.query("perfect_scores", "SELECT result_id FROM ragas_eval_results WHERE faithfulness = 1.0 AND answer_relevancy IS NOT NULL")
+def perfect_scores(spark: SparkSession, directory: str) -> DataFrame:
+    """Results with exactly the full score that were judged at all, refusals scored by hand left out by their missing relevancy."""
+    r = table(spark, directory, "ragas_eval_results", "result_id", "faithfulness", "answer_relevancy")
+    return r.filter("faithfulness = 1.0 AND answer_relevancy IS NOT NULL").select("result_id")
+
+
+@REGISTRY.query("unasked_questions", "SELECT source_row, question FROM golden_dataset g WHERE NOT EXISTS (SELECT 1 FROM ragas_eval_results r WHERE trim(lower(r.user_input)) = trim(lower(g.question)) AND r.faithfulness IS NOT NULL)")
+def unasked_questions(spark: SparkSession, directory: str) -> DataFrame:
+    """Questions without a scored result under the same words; questions repeated within the set stay."""
+    key = lambda c: F.trim(F.lower(c)).alias("key")
+    done = table(spark, directory, "ragas_eval_results", "user_input", "faithfulness").filter("faithfulness IS NOT NULL").select(key("user_input")).distinct()
+    g = table(spark, directory, "golden_dataset", "source_row", "question")
+    return g.withColumn("key", key("question")).join(done, "key", "left_anti").select("source_row", "question")
+
+
+@REGISTRY.query("files_to_load", "SELECT source_file, count(*) AS n_pages, bool_or(source_file IN (SELECT doc_source_file FROM ragas_eval_results WHERE doc_source_file <> '')) AS golden FROM document_pages GROUP BY 1")
+def files_to_load(spark: SparkSession, directory: str) -> DataFrame:
+    """Files that results refer to, and the others that stand beside them to distract, as one list."""
+    cited = table(spark, directory, "ragas_eval_results", "doc_source_file").filter("doc_source_file <> ''").select(F.col("doc_source_file").alias("source_file")).distinct().withColumn("golden", F.lit(True))
+    files = table(spark, directory, "document_pages", "source_file").groupBy("source_file").agg(F.count(F.lit(1)).alias("n_pages"))
+    return files.join(cited, "source_file", "left").select("source_file", "n_pages", F.coalesce("golden", F.lit(False)).alias("golden"))

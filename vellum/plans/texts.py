@@ -82,8 +82,8 @@ def refusal_flag(spark: SparkSession, directory: str) -> DataFrame:
     return r.select("result_id", *[tx.contains_any(F.col("response"), m).alias(n) for n, m in tx.REFUSAL_MARKERS.items() if n != "first"])
 
 
-@REGISTRY.query("section_hint", r"""SELECT page_id, nullif(substr(regexp_replace(regexp_extract(substr(page_content, 1, 500),
-  '(?m)^((?:ARTICLE|SECTION|SCHEDULE|EXHIBIT|ANNEX|APPENDIX)\s+[\w\d]+.*|(?:Section|Article)\s+\d[\d\.]*\s+\S.*|\d+[\.\d]*\s+[A-Z][A-Z ]{2,50}$)', 0), '^\s+|\s+$', '', 'g'), 1, 100), '') AS hint FROM document_pages WHERE NOT contains(page_content, chr(13))""")
+@REGISTRY.query("section_hint", rf"""SELECT page_id, nullif(substr(regexp_replace(regexp_extract(substr(page_content, 1, 500),
+  '{tx.SECTION_PATTERN}', 0), '^\s+|\s+$', '', 'g'), 1, 100), '') AS hint FROM document_pages WHERE NOT contains(page_content, chr(13))""")
 def section_hint(spark: SparkSession, directory: str) -> DataFrame:
     p = table(spark, directory, "document_pages").filter(~F.contains("page_content", F.lit("\r")))
     return p.select("page_id", tx.section_hint(F.col("page_content")).alias("hint"))

@@ -110,6 +110,32 @@ def fold_frames(frames: DataFrame, key: str = "id") -> DataFrame:
     return g.select(key, F.when(failed, F.col("error")).otherwise(F.array_join(F.col("tokens.payload"), "")).alias("content"), F.col("done").alias("sources"), "verification", failed.alias("failed"), "n_frames")
 
 
+class FrameFold(StatefulProcessor):
+    """State an answer: the frames so far. The answer comes out, and its state goes, with the report or an error, which end a stream."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.frames = handle.getListState("frames", "seq long, kind string, payload string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        new = [r for pdf in rows for r in pdf[["seq", "kind", "payload"]].itertuples(index=False, name=None)]
+        held = {int(s): (k, p) for s, k, p in [*(self.frames.get() if self.frames.exists() else []), *new]}
+        last = {k: p for _, (k, p) in sorted(held.items()) if k != "token"}
+        if not {"verification", "error"} & set(last):
+            self.frames.put([(s, *f) for s, f in held.items()])
+            return
+        self.frames.clear()
+        text = "".join(p for _, (k, p) in sorted(held.items()) if k == "token")
+        yield pd.DataFrame({"id": [key[0]], "content": [last.get("error", text)], "sources": [last.get("done")], "verification": [last.get("verification")], "failed": ["error" in last]})
+
+    def close(self) -> None:
+        pass
+
+
+def frames_stream(frames: DataFrame) -> DataFrame:
+    """frames: id, seq (long), kind, payload, as for fold_frames. Needs the RocksDB state store."""
+    return frames.groupBy("id").transformWithStateInPandas(FrameFold(), "id string, content string, sources string, verification string, failed boolean", outputMode="Append", timeMode="None")
+
+
 def refresh_index(pages: DataFrame, path: str, keys: list[str], checkpoint: str) -> object:
     """Keep the table at path up to date with a stream of loaded pages: each batch replaces exactly the partitions it holds."""
     from vellum.sources.files import replace_partitions
