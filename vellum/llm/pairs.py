@@ -128,14 +128,15 @@ def is_refusal(response: Column) -> Column:
     plain = F.lower(response)
     for short, long in _SHORT_FORMS:
         plain = F.regexp_replace(plain, short, long)
-    all_shingles = F.array(*map(F.lit, sorted({f"{x} {y}" for t in TEMPLATES for x, y in zip(t.split(), t.split()[1:], strict=False)})))
+    all_shingles = sorted({f"{x} {y}" for t in TEMPLATES for x, y in zip(t.split(), t.split()[1:], strict=False)})
 
     def aligned(x: Column) -> Column:
         def fits(t: Column) -> Column:
             held = F.size(F.array_intersect(t["shingles"], x["shingles"])) >= TEMPLATE_SHINGLES * F.size(t["shingles"])
             return F.when(held, let(common_subsequence(t["ws"], x["ws"]), F.lit(False), lambda n: (n >= TEMPLATE_TOKENS * F.size(t["ws"])) & (n >= OF_SENTENCE * F.size(x["ws"])))).otherwise(F.lit(False))
 
-        return F.when(F.size(F.array_intersect(x["shingles"], all_shingles)) >= 2, F.exists(_template_row(), fits)).otherwise(F.lit(False))
+        # a fixed set is kept hashed between rows, which an array is not
+        return F.when(F.size(F.filter(x["shingles"], lambda s: s.isin(*all_shingles))) >= 2, F.exists(_template_row(), fits)).otherwise(F.lit(False))
 
     def share(ss: Column) -> Column:
         sizes = F.transform(ss, lambda x: F.struct(F.size(x["ws"]).alias("n"), F.when(aligned(x), F.size(x["ws"])).otherwise(0).alias("hit")))
